@@ -34,4 +34,19 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit USING (r) LEFT JOIN found USING (r)""",
+    "op5_warc": r"""
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+        b AS (
+            SELECT page_id, octet_length(encode(payload)) AS payload_bytes,
+                   array_to_string(list_transform(range(0, 32), lambda k:
+                       substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                              1 + (('0x' || substr(hex, 1 + 5 * (k // 4), 5))::BIGINT >> (15 - 5 * (k % 4))) % 32, 1)), '')
+                   AS payload_digest
+            FROM p),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM b)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> top THEN top END AS refers_to
+        FROM g""",
 }
