@@ -13,45 +13,106 @@ capacity are cut; no id is lost. An empty table gives no rows. Extra columns are
 
 from __future__ import annotations
 
+import functools
+import re
+import struct
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import materialize
 
-#: Entries of a worker's cache of tokenised words; it starts anew when full.
-CACHE = 400_000
+#: Entries of each half of a worker's cache of tokenised words; when one is full it replaces the other.
+CACHE = 250_000
+BLANK = re.compile(r"[ \t\n\r\x0b\x0c]+")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
-class Encoder(dict):
-    """Ids, as little-endian unsigned 32-bit bytes, of a stretch of UTF-8 without ASCII white space.
+class Pieces(dict):
+    """The ids of a word, which the model splits on its own, as little-endian unsigned 32-bit bytes."""
 
-    The tokenizer drops white space and looks at nothing across it, so a text's ids are those of its stretches.
-    """
-
-    def __init__(self, path: str):
+    def __init__(self, ids: Callable[[str], list[int]]):
         super().__init__()
-        from tokenizers import Tokenizer
+        self.ids, self.older = ids, {}
 
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: bytes) -> bytes:
-        import numpy as np
-
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        out = np.asarray(ids, dtype="<u4").tobytes()
+    def __missing__(self, word: str) -> bytes:
+        out = self.older.get(word)
+        if out is None:
+            ids = self.ids(word)
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= 40:
             if len(self) >= CACHE:
+                self.older = dict(self)
                 self.clear()
             self[word] = out
         return out
 
-    def text(self, text: bytes | None, end_id: int = 0) -> bytes:
-        return b"".join(map(self.__getitem__, text.split() if text else ())) + end_id.to_bytes(4, "little")
+
+class Encoder:
+    """A text's ids as little-endian unsigned 32-bit bytes, the same as the tokenizer's.
+
+    The tokenizer drops white space and looks at nothing across it, so a text's ids are those of its stretches. Where a
+    text is of plain letters, digits and punctuation, whose normal form is themselves, and the tokenizer is of the kind
+    known here, its words are split off by the same pattern and merged by the same ranks in tiktoken, which is quicker:
+    the last byte of a word and the mark of its end are one symbol, which in ranks is their first merge. Every worker
+    first holds this against the tokenizer on its own vocabulary's words, and leaves it where one differs.
+    """
+
+    #: Fixed values of this kind of tokenizer: its pattern, the same for plain text in lower case, and its suffix.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^\sa-z0-9\u00df-\u00f6\u00f8-\u017e]+"
+    SUFFIX = "</w>"
+    #: Plain text holds none of these.
+    ODD = re.compile(r"[^\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u017e\u2013\u2014\u2018-\u201e\u2026]|<\|")
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.stretches = Pieces(lambda w: self.tokenizer.encode(w, add_special_tokens=False).ids)
+        self.split = re.compile(self.PLAIN_PATTERN).findall
+        self.words = self._ranked()
+
+    def _ranked(self) -> Pieces | None:
+        import json
+
+        import tiktoken
+
+        spec = json.loads(self.tokenizer.to_str())
+        split = [x for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
+        kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        model = spec["model"]
+        if kinds != ["NFC", "Replace", "Lowercase"] or [x["pattern"].get("Regex") for x in split] != [self.PATTERN] or model.get("end_of_word_suffix") != self.SUFFIX or model["dropout"]:
+            return None
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the rest follow from 256 on
+        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+        special = {x["content"] for x in spec["added_tokens"]}
+        end = b"\xff"  # in no UTF-8
+        plain = {t: i for t, i in model["vocab"].items() if t not in special}
+        ranks = {bytes(byte[c] for c in t.removesuffix(self.SUFFIX)) + end * t.endswith(self.SUFFIX): i for t, i in plain.items()}
+        core = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+        words = Pieces(lambda w: core.encode_single_piece(w.encode() + end))
+        whole = [t.removesuffix(self.SUFFIX) for t in list(plain)[512::9]]
+        text = " ".join(w for w in (bytes(byte[c] for c in t).decode("utf-8", "ignore") for t in whole) if w and not self.ODD.search(w))
+        same = b"".join(map(words.__getitem__, self.split(text.lower()))) == struct.pack(f"<{len(i := self.tokenizer.encode(text, add_special_tokens=False).ids)}I", *i)
+        return words if same else None
+
+    def text(self, text: str | None, end_id: int = 0) -> bytes:
+        text = text or ""
+        if self.words is not None and not self.ODD.search(text):
+            ids = b"".join(map(self.words.__getitem__, self.split(text.lower())))
+        else:
+            ids = b"".join(map(self.stretches.__getitem__, BLANK.split(text)))
+        return ids + struct.pack("<I", end_id)
+
+
+@functools.lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """One for each worker, whose caches serve all its tasks."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -61,11 +122,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, part, seen, step = Encoder(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1), 4 * capacity
+        encode, part, seen, step = encoder(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1), 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode.text(text.as_buffer().to_pybytes() if text.is_valid else None, end_id)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = encode.text(text, end_id)
                 for k, at in enumerate(range(0, len(ids), step)):
                     piece = ids[at : at + step]
                     n = len(piece) // 4
@@ -75,7 +136,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -166,7 +227,7 @@ def sequences(docs: DataFrame, placed: DataFrame, tokenizer: str, end_id: int =
         import numpy as np
         import pyarrow as pa
 
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         for batch in batches:
             rows = batch.to_pylist()
             ids = [np.frombuffer(encode.text(r["text"], end_id), "<u4")[r["start"] : r["start"] + r["length"]].tolist() for r in rows]
@@ -175,7 +236,7 @@ def sequences(docs: DataFrame, placed: DataFrame, tokenizer: str, end_id: int =
                 names=["sequence_id", "offset", "ids"],
             )
 
-    joined = placed.join(docs.select("doc_id", F.col("text").cast("binary").alias("text")), "doc_id")
+    joined = placed.join(docs.select("doc_id", "text"), "doc_id")
     parts = joined.select("sequence_id", "offset", "start", "length", "text").mapInArrow(run, "sequence_id long, offset long, ids array<int>")
     in_order = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     return parts.groupBy("sequence_id").agg(F.flatten(F.transform(in_order, lambda x: x["ids"])).alias("ids"))

@@ -20,14 +20,30 @@ def plain():
     return Tokenizer.from_file(PATH)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(st.sampled_from("ab É'st<|endoftext>\n\t ́ßİΣ1२  \x1c😀‍"), max_size=60))
-def test_stretches_give_the_tokenizers_ids(text):
-    from tokenizers import Tokenizer
+def same(text):
+    encode = packing.encoder(PATH)
+    ids = np.frombuffer(encode.text(text), "<u4").tolist()
+    return ids == [*encode.tokenizer.encode(text, add_special_tokens=False).ids, 0]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab \u00c9's\u0301t<|endoftext>\n\t\u00df\u0130\u03a31\u096d\u2003\x1c\U0001f600\u200d\u00aa\u00b5\u00b2"), max_size=60))
+def test_odd_texts_have_the_tokenizers_ids(text):
+    assert same(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("abcdefghilmnoprstu\u00e9\u00e8\u00fc\u00df\u00e7\u00d1\u0141'!.,_-$ 120\u201c\u2014\n"), max_size=200))
+def test_plain_texts_have_the_tokenizers_ids(text):
+    assert packing.encoder(PATH).words is not None and same(text)
+
+
+def test_shipped_documents_have_the_tokenizers_ids():
+    import pyarrow.parquet as pq
 
-    tokenizer = Tokenizer.from_file(PATH)
-    ids = np.frombuffer(packing.Encoder(PATH).text(text.encode()), "<u4").tolist()
-    assert ids == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+    encode = packing.encoder(PATH)
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist():
+        assert same(text) and not encode.ODD.search(text)
 
 
 @settings(max_examples=60, deadline=None)
