@@ -49,4 +49,28 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> top THEN top END AS refers_to
         FROM g""",
+    "op7_preference_format": r"""
+        WITH t AS (
+            SELECT DISTINCT conv_id, CAST(floor(turn / 1000) AS BIGINT) AS block, turn,
+                   coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+            FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+        k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, block ORDER BY turn, role, text) AS k FROM t),
+        a AS (
+            SELECT conv_id, block, min(k) AS first, max(k) AS last, arg_min(text, k) AS reply
+            FROM k WHERE role = 'assistant' GROUP BY ALL),
+        r AS (
+            SELECT conv_id, block, k, last, text <> other AS differs,
+                   '<|im_start|>' || replace(role, '<|', '< |') || chr(10) AS head,
+                   replace(text, '<|', '< |') || '<|im_end|>' AS said, replace(other, '<|', '< |') || '<|im_end|>' AS instead
+            FROM (SELECT k.*, last, CASE WHEN k < last THEN text WHEN first < last THEN reply ELSE '' END AS other
+                  FROM k JOIN a USING (conv_id, block) WHERE k <= last)),
+        d AS (
+            SELECT conv_id, block, max(last) - CAST(bool_or(differs) AS INT) AS n,
+                   coalesce(string_agg(head || said || chr(10), '' ORDER BY k) FILTER (NOT (k = last AND differs)), '') AS prompt,
+                   coalesce(max(head || said || chr(10)) FILTER (k = last AND differs), '') AS chosen,
+                   coalesce(max(head || instead || chr(10)) FILTER (k = last AND differs), '') AS rejected,
+                   max(CASE WHEN k = last AND differs THEN length(head) || ':' || length(head || said) ELSE '' END) AS chosen_spans,
+                   max(CASE WHEN k = last AND differs THEN length(head) || ':' || length(head || instead) ELSE '' END) AS rejected_spans
+            FROM r GROUP BY conv_id, block)
+        SELECT conv_id, block, CAST(n AS INT) AS n_common, prompt, chosen, rejected, chosen_spans, rejected_spans FROM d""",
 }

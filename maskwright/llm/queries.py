@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import cotraining, decontaminate, exact_dedup, jaccard_join, language_id, packing, substring_dedup, warc
+from maskwright.llm import chat_format, cotraining, decontaminate, exact_dedup, jaccard_join, language_id, packing, substring_dedup, warc
 from maskwright.llm.common import table
 
 
@@ -37,6 +37,13 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat_format.preferences(table(spark, sf_dir, "conversations"))
+    for side in ("chosen", "rejected"):
+        out = out.withColumn(f"{side}_spans", chat_format.spans_text(f"{side}_spans"))
+    return out
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -55,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_warc": op5_warc,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_preference_format": op7_preference_format,
     "op8_decontamination": op8_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
