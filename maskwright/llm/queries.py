@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from maskwright.llm import chat_format, cotraining, decontaminate, exact_dedup, jaccard_join, language_id, packing, substring_dedup, warc
+from maskwright.llm import chat_format, cotraining, decontaminate, exact_dedup, jaccard_join, language_id, packing, secret_scan, substring_dedup, warc
 from maskwright.llm.common import table
 
 
@@ -21,6 +22,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secret_scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "path", "start", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"), "secret")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -57,6 +63,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language_id": op4_language_id,

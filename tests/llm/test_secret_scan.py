@@ -1,0 +1,64 @@
+import random
+import re
+import string
+
+from maskwright.llm import secret_scan as S
+
+SCHEMA = "doc_id long, text string, source string, path string, value int"
+
+
+def corpus(seed=1, n=150):
+    rng = random.Random(seed)
+    words = ["order", "river", "stone", "commit", "window", "letter", "number", "garden"]
+    key = lambda k, a=string.ascii_letters + string.digits: "".join(rng.choices(a, k=k - 1)) + rng.choice(string.digits)
+    rows, truth = [], {}
+    for i in range(n):
+        kind = i % 5
+        value = [key(40, "0123456789abcdef"), "AKIA" + key(16, string.ascii_uppercase + string.digits), f"{rng.choice(words)}-{rng.choice(words)}-{rng.choice(words)}-20{i % 90 + 10}", key(40, "0123456789abcdef"), str(rng.randrange(10**15, 10**16))][kind]
+        left = ['secret_token = "', "", "see page ", "commit ", "card "][kind]
+        text = " ".join(rng.choices(words, k=6)) + f" {left}{value}" + ('"' if kind == 0 else "") + " " + " ".join(rng.choices(words, k=5))
+        rows.append((i, text, "src/é" if i % 2 else None, "p", 1))
+        truth[i] = kind < 2
+    return rows, truth
+
+
+def test_candidates_against_re(spark):
+    rows, _ = corpus()
+    rows += [(900, None, "s", "p", 1), (901, "", "s", "p", 1), (902, "é" * 9 + " abcdefghij0123456789== x_" + "a1" * 20 + "\n9" + "b" * 30, "s", "p", 1), (903, "w " * 100_000 + "A1" * 30, "s", "p", 1), (904, "a1" * 9 + " " + "b2" * 9, "s", "p", 1), (904, "x" * 40, "s", "p", 1)]
+    got = sorted((r.doc_id, r.start, r.value, r.before, r.after) for r in S.candidates(spark.createDataFrame(rows, SCHEMA)).collect())
+    want = []
+    for i, text, *_ in rows:
+        found = list(re.finditer(S.CANDIDATE, text or ""))
+        edges = [0, *(x for m in found for x in m.span()), len(text or "")]
+        gaps = [text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)] if found else []
+        want += [(i, m.start(), m[0], gaps[k][-S.NEAR :], gaps[k + 1][: S.NEAR]) for k, m in enumerate(found)]
+    assert got == sorted(want)
+
+
+def test_held_out_findings(spark):
+    rows, truth = corpus(2, 300)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = S.candidates(docs).toPandas()
+    found["label"] = [float(truth[i]) for i in found.doc_id]
+    learned = spark.createDataFrame(found[found.doc_id < 200])
+    got = {r.doc_id: r for r in S.secret_scan(docs, learned).collect()}
+    held = [i for i in got if i >= 200]
+    assert len(held) >= 95 and sum(got[i].secret == truth[i] for i in held) / len(held) > 0.97
+    assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_defined_cases(spark):
+    rows, truth = corpus(3, 60)
+    docs = spark.createDataFrame([*rows, rows[0], rows[0]], SCHEMA)
+    got = S.secret_scan(docs).collect()
+    assert len(got) == 62 and len({r.score for r in got if r.doc_id == 0}) == 1
+    assert sum(r.secret == truth[r.doc_id] for r in got) / len(got) > 0.95
+    assert S.secret_scan(docs.limit(0)).count() == 0
+    only = S.secret_scan(docs.where("doc_id % 5 = 1")).collect()
+    assert {r.score for r in only} == {1.0}
+
+
+def test_no_python_on_the_executors(spark):
+    rows, _ = corpus(4, 60)
+    plan = S.secret_scan(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
