@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LABELLED, POOL, ROUNDS, BATCH = 8000, 6000, 3, 0.1
+LABELLED, POOL, ROUNDS, BATCH = 8000, 4000, 3, 0.1
 #: Positions of the hashed features: of words, of the text view, whose shapes follow the words, and of the metadata view.
 WORD_BITS, TEXT_BITS, META_BITS = 18, 19, 14
 #: How often a view must have been right, on documents kept apart, where it is as sure as when it hands on a label.
@@ -76,12 +76,12 @@ class Tokens(dict):
         return out
 
 
-def text_features(text: str | None, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and values: a word that occurs, and a shape with each share that it reaches."""
+def text_features(text: str | None, tokens: Tokens) -> np.ndarray:
+    """Positions of the features: words that occur, and shapes with each share that they reach."""
     found = (text or "").split()
     n = len(found)
     if not n:
-        return np.array([_at("s:none", TEXT_BITS)]), np.ones(1, np.float32)
+        return np.array([_at("s:none", TEXT_BITS)], np.int32)
     words: set[int] = set()
     shapes: Counter = Counter()
     for token, k in Counter(found).items():
@@ -93,13 +93,13 @@ def text_features(text: str | None, tokens: Tokens) -> tuple[np.ndarray, np.ndar
         shapes[_at("s:same as before", TEXT_BITS)] += same
     for s, k in shapes.items():
         words.update((1 << WORD_BITS) + (s * 31 + i) % (1 << WORD_BITS) for i, least in enumerate(SHARES) if k >= least * (n + PRIOR))
-    return np.fromiter(words, np.int64, len(words)), np.ones(len(words), np.float32)
+    return np.fromiter(words, np.int32, len(words))
 
 
-def meta_features(source: str | None, lang: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
+def meta_features(source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
     size = None if n_chars is None else int(max(n_chars, 0)).bit_length()
     names = [f"source={source}", f"lang={lang}", f"size={size}", f"lang={lang}&size={size}", f"source={source}&lang={lang}"]
-    return np.array([_at(x, META_BITS) for x in names]), np.ones(len(names), np.float32)
+    return np.array([_at(x, META_BITS) for x in names], np.int32)
 
 
 @dataclass
@@ -117,24 +117,25 @@ class View:
     bias: float = 0.0
     line: tuple[float, float] = (1.0, 0.0)
 
-    def raw(self, x: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    def raw(self, x: list[np.ndarray]) -> np.ndarray:
         """Log odds before calibration."""
         if not x:
             return np.zeros(0)
-        at, values, row = _flat(x)
-        return np.bincount(row, self.weights[at] * values, len(x)) + self.bias
+        at, row = _flat(x)
+        return np.bincount(row, self.weights[at], len(x)) + self.bias
 
-    def fit(self, x: list, y: np.ndarray, penalty: float, steps: int = 120) -> None:
+    def fit(self, x: list[np.ndarray], y: np.ndarray, penalty: float, steps: int = 120) -> None:
         """Full-batch Adam."""
-        at, values, row = _flat(x)
-        good = np.bincount(at, y[row] > 0.5, 1 << self.bits)
-        other = np.bincount(at, y[row] <= 0.5, 1 << self.bits)
-        scale = np.log((good + 1) / (np.sum(y > 0.5) + 2)) - np.log((other + 1) / (np.sum(y <= 0.5) + 2))
+        at, row = _flat(x)
+        is_good = y > 0.5
+        good = np.bincount(at[is_good[row]], minlength=1 << self.bits)
+        other = np.bincount(at[~is_good[row]], minlength=1 << self.bits)
+        scale = np.log((good + 1) / (is_good.sum() + 2)) - np.log((other + 1) / ((~is_good).sum() + 2))
         scale[good + other < FEW] = 0
         scale[: self.against] = np.minimum(scale[: self.against], 0)
         some = scale[at] != 0
         at, row = at[some], row[some]
-        values = values[some] * scale[at]
+        values = scale[at]
         w = np.zeros(1 << self.bits)
         m, v = np.zeros_like(w), np.zeros_like(w)
         # A text that says nothing has the odds of the labels, so only evidence moves it.
@@ -145,11 +146,11 @@ class View:
             g = np.bincount(at, e[row] * values, len(w)) + penalty * w / len(x)
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             w = w - 0.08 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        self.weights, self.bias = w * scale, float(bias)
+        self.weights, self.bias = (w * scale).astype(np.float32), float(bias)
 
 
-def _flat(x: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.concatenate([a for a, _ in x]), np.concatenate([v for _, v in x]), np.repeat(np.arange(len(x)), [len(a) for a, _ in x])
+def _flat(x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(x), np.repeat(np.arange(len(x), dtype=np.int32), [len(a) for a in x])
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
