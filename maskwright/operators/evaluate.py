@@ -19,8 +19,9 @@ def flags(docs: DataFrame, predicted: str = "spans", labels: str = "labels") ->
     only meets a label without category counts neither way. Spans of a text stay in its row, so nothing is joined.
     """
     same = lambda a, b: a["category"].eqNullSafe(b["category"]) & overlaps(a, b)
-    p, g = F.coalesce(F.col(predicted), F.array().cast("array<struct<category:string,start:int,end:int>>")), F.coalesce(F.col(labels), F.array().cast("array<struct<category:string,start:int,end:int>>"))
-    docs = docs.select(F.transform(p, lambda s: F.struct(s["category"], s["start"], s["end"])).alias("p"), F.transform(g, lambda s: F.struct(s["category"], s["start"], s["end"])).alias("g"))
+    none = F.array().cast("array<struct<category:string,start:int,end:int>>")
+    bare = lambda c: F.coalesce(F.transform(c, lambda s: F.struct(s["category"], s["start"], s["end"])), none)
+    docs = docs.select(bare(F.col(predicted)).alias("p"), bare(F.col(labels)).alias("g"))
     one = lambda cond: cond.cast("long")
     gold = F.transform(
         F.filter("g", lambda x: x["category"].isNotNull()),

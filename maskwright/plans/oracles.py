@@ -109,9 +109,9 @@ _EVAL = f"""WITH {spans(DOCS)},
 _TOKENS = """
         lines AS (SELECT l_orderkey AS id, l_linenumber AS k, max(l_partkey) AS p, max(l_suppkey) AS q, CAST(max(l_quantity) AS BIGINT) AS r FROM lineitem GROUP BY ALL),
         tokens AS (SELECT id, k, CASE WHEN q % 5 = 0 THEN 0 ELSE 3 END AS size, [p % 4, q % 4, r % 4, (p + r) % 3] AS x FROM lines),
-        at AS (SELECT *, CAST(sum(size) OVER (PARTITION BY id ORDER BY k) AS BIGINT) AS e, list_max(x) AS top FROM tokens),
+        offsets AS (SELECT *, CAST(sum(size) OVER (PARTITION BY id ORDER BY k) AS BIGINT) AS e, list_max(x) AS top FROM tokens),
         best AS (SELECT id, k, e - size AS s, e, 1 / list_sum(list_transform(x, lambda v: exp(CAST(v - top AS DOUBLE)))) AS prob,
-                 CASE WHEN size > 0 THEN CASE list_position(x, top) WHEN 2 THEN 'secret' WHEN 3 THEN 'private_person' WHEN 4 THEN 'private_person' END END AS category FROM at),
+                 CASE WHEN size > 0 THEN CASE list_position(x, top) WHEN 2 THEN 'secret' WHEN 3 THEN 'private_person' WHEN 4 THEN 'private_person' END END AS category FROM offsets),
         edges AS (SELECT *, CASE WHEN category IS NOT NULL AND category IS NOT DISTINCT FROM lag(category) OVER (PARTITION BY id ORDER BY k) THEN 0 ELSE 1 END AS new FROM best),
         islands AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY k) AS island FROM edges),
         found AS (SELECT id, category, min(s) + 1 AS s, max(e) AS e, CAST(avg(prob) AS FLOAT) AS score FROM islands WHERE category IS NOT NULL GROUP BY id, island, category)"""

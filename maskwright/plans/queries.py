@@ -136,7 +136,7 @@ def merge_overlapping(spark, sf_dir):
 
 def combine_anti(spark, sf_dir):
     """Documents' patterns combined with spans laid every 200 bytes over the masked text, of three lengths."""
-    docs = masked(spark, sf_dir)
+    docs = materialize(masked(spark, sf_dir), "masked")
     places = F.sequence(F.lit(0), F.greatest(F.octet_length("masked") - 1, F.lit(0)), F.lit(200))
     model = F.transform(places, lambda p: F.struct(F.lit("private_person").alias("category"), p.alias("start"), (p + 5 + (p / 200).cast("int") % 3 * 20).alias("end"), F.lit("").alias("text"), F.lit(0.5).cast("float").alias("score")))
     docs = docs.withColumn("model", F.filter(model, lambda m: m["end"] <= F.octet_length("masked")))
