@@ -74,5 +74,9 @@ def _bounded(pattern: str) -> str:
 #: The same for Java, where white space, word characters and case follow Unicode.
 COMBINED = "(?U)" + "|".join("(" + "|".join(map(_bounded, patterns)) + ")" for _, patterns in GROUPS)
 
-#: Any text with a match has one of these: a digit, a sign of an address, or the beginning of a key.
-TRIGGER = r"(?U)[0-9@]|://|www\.|-----BEGIN|eyJ|GOCSPX-|AIza|xox[baprs]-|(?:sk|rk|pk)_(?:live|test)_|sk-|pypi-|gh[oprsu]_|github_pat_|(?:A3T[A-Z]|AKIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA|ASIA)[A-Z]|(?i:bearer)"
+#: Any text with a match holds one of these, or a digit, or ``bearer`` in any case. Plain searches are several times
+#: quicker than the scan, and few texts need it.
+TRIGGERS = [
+    "@", "://", "www.", "-----BEGIN", "eyJ", "GOCSPX-", "AIza", "xoxb-", "xoxa-", "xoxp-", "xoxr-", "xoxs-", "_live_", "_test_", "sk-", "pypi-",
+    "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "github_pat_", "A3T", "AKIA", "AGPA", "AIDA", "AROA", "AIPA", "ANPA", "ANVA", "ASIA",
+]

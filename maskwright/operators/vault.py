@@ -17,11 +17,18 @@ from maskwright.operators.shared import materialize, numbered
 ATTEMPTS = 4
 
 
-def values(docs: DataFrame, order: list[str], scope: list[str] | None = None, text: str = "text", spans: str = "spans") -> DataFrame:
-    """Each category and value that would be replaced, and the place where it first appears: a row for each, summed up
-    before the shuffle, so a value that a third of the corpus mentions is no burden."""
+def placed(docs: DataFrame, key: list[str], scope: list[str] | None = None, text: str = "text", spans: str = "spans") -> DataFrame:
+    """``key``, scope and kept: the spans that are replaced, of texts that have any. A narrow table in the shared folder,
+    so texts are scanned once, however often it is read."""
+    names = list(dict.fromkeys([*key, *(scope or [])]))
+    return materialize(docs.select(*names, S.placeable(spans, text).alias("kept")).where("size(kept) > 0"), "placed")
+
+
+def values(placed: DataFrame, order: list[str], scope: list[str] | None = None) -> DataFrame:
+    """Each category and value that is replaced, and the place where it first appears: a row for each, summed up before
+    the shuffle, so a value that a third of the corpus mentions is no burden."""
     scope = scope or []
-    each = docs.select(*scope, *[F.col(c).alias(f"_{c}") for c in order], F.explode(S.placeable(spans, text)).alias("s"))
+    each = placed.select(*scope, *[F.col(c).alias(f"_{c}") for c in order], F.explode("kept").alias("s"))
     place = F.struct(*[f"_{c}" for c in order], F.col("s.start"))
     return each.groupBy(*scope, F.col("s.category").alias("category"), F.col("s.text").alias("real")).agg(F.min(place).alias("first"))
 
@@ -84,28 +91,28 @@ def cap(vault: DataFrame, most: int, scope: list[str] | None = None) -> tuple[Da
     return vault.where(F.col("seq") >= least), vault.where(F.col("seq") < least)
 
 
-def anonymize(docs: DataFrame, vault: DataFrame, key: list[str], scope: list[str] | None = None, text: str = "text", spans: str = "spans") -> DataFrame:
+def anonymize(docs: DataFrame, placed: DataFrame, vault: DataFrame, key: list[str], scope: list[str] | None = None, text: str = "text") -> DataFrame:
     """``docs`` with anonymized (the text), placements, and subs: (real, fake) of each replaced span.
 
     ``key`` names a row. Spans are joined with the vault without their texts; Spark picks the join by the vault's size
     and splits a value that many share.
     """
     scope = scope or []
-    kept = docs.withColumn("_kept", S.placeable(spans, text))
-    each = kept.select(*key, *[c for c in scope if c not in key], F.explode("_kept").alias("s")).select("*", F.col("s.category").alias("category"), F.col("s.text").alias("real"))
+    each = placed.select(*placed.columns[:-1], F.explode("kept").alias("s")).select("*", F.col("s.category").alias("category"), F.col("s.text").alias("real"))
     each = each.join(vault.select(*scope, "category", "real", "fake"), [*scope, "category", "real"])
     place = F.struct("s.start", "s.end", F.col("fake").alias("surrogate"), "real")
     found = each.groupBy(*key).agg(F.array_sort(F.collect_list(place)).alias("_placed"))
-    out = kept.drop("_kept").join(found, key, "left")
-    placed = F.coalesce("_placed", F.array().cast("array<struct<start:int,end:int,surrogate:string,real:string>>"))
+    out = docs.join(found, key, "left")
+    put = F.coalesce("_placed", F.array().cast("array<struct<start:int,end:int,surrogate:string,real:string>>"))
     return out.select(
-        *docs.columns, S.splice(text, placed, lambda p: p["surrogate"]).alias("anonymized"),
-        F.transform(placed, lambda p: F.struct(p["start"], p["end"], p["surrogate"])).alias("placements"),
-        F.transform(placed, lambda p: F.struct(p["real"].alias("real"), p["surrogate"].alias("fake"))).alias("subs"),
+        *docs.columns, S.splice(text, put, lambda p: p["surrogate"]).alias("anonymized"),
+        F.transform(put, lambda p: F.struct(p["start"], p["end"], p["surrogate"])).alias("placements"),
+        F.transform(put, lambda p: F.struct(p["real"].alias("real"), p["surrogate"].alias("fake"))).alias("subs"),
     )
 
 
 def anonymize_corpus(docs: DataFrame, key: list[str], scope: list[str] | None = None, existing: DataFrame | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Anonymized documents and the vault that they share; with ``scope``, one for each value of those columns."""
-    vault = materialize(build(values(docs, key, scope), scope, existing, seed), "vault")
-    return anonymize(docs, vault, key, scope), vault
+    some = placed(docs, key, scope)
+    vault = materialize(build(values(some, key, scope), scope, existing, seed), "vault")
+    return anonymize(docs, some, vault, key, scope), vault

@@ -70,7 +70,8 @@ def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def span_rows(docs: DataFrame, key: str = "id", spans: str = "spans") -> DataFrame:
-    each = docs.select(key, F.posexplode(spans).alias("n", "s"))
+    # The outer form and a filter after it: for the inner one, Spark would run the scan again to see if there is a span.
+    each = docs.select(key, F.posexplode_outer(spans).alias("n", "s")).where("s IS NOT NULL")
     return each.select(key, F.col("n").cast(LONG), F.col("s.category").alias("category"), F.col("s.start").cast(LONG).alias("s"), F.col("s.end").cast(LONG).alias("e"), F.col("s.text").alias("text"))
 
 
@@ -144,7 +145,7 @@ def combine_anti(spark, sf_dir):
 
 
 def vault_first_seen(spark, sf_dir):
-    return vault.build(vault.values(scanned(spark, sf_dir), ["doc_id"])).select("seq", "category", "real")
+    return vault.build(vault.values(vault.placed(scanned(spark, sf_dir), ["doc_id"]), ["doc_id"])).select("seq", "category", "real")
 
 
 def anonymize_documents(spark, sf_dir):
@@ -154,7 +155,7 @@ def anonymize_documents(spark, sf_dir):
 
 def anonymize_subs(spark, sf_dir):
     out, _ = vault.anonymize_corpus(scanned(spark, sf_dir), ["doc_id"])
-    return out.select("doc_id", F.posexplode("subs").alias("n", "x")).select("doc_id", F.col("n").cast(LONG), F.col("x.real").alias("real"), F.col("x.fake").alias("fake"))
+    return out.where("size(subs) > 0").select("doc_id", F.posexplode("subs").alias("n", "x")).select("doc_id", F.col("n").cast(LONG), F.col("x.real").alias("real"), F.col("x.fake").alias("fake"))
 
 
 def deanonymize_roundtrip(spark, sf_dir):
@@ -170,7 +171,7 @@ def restore_longest_prefix(spark, sf_dir):
 
 
 def vault_cap(spark, sf_dir):
-    entries = materialize(vault.build(vault.values(scanned(spark, sf_dir), ["doc_id"])), "vault")
+    entries = materialize(vault.build(vault.values(vault.placed(scanned(spark, sf_dir), ["doc_id"]), ["doc_id"])), "vault")
     kept, gone = vault.cap(entries, 10)
     mark = lambda df, name: df.select("seq", "category", "real", F.lit(name).alias("state"))
     return mark(kept, "kept").unionByName(mark(gone, "gone"))
@@ -179,14 +180,14 @@ def vault_cap(spark, sf_dir):
 def vault_resume(spark, sf_dir):
     """The vault of all pages, and after it what documents add."""
     pages = spread(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))).withColumn("spans", S.regex_spans("text"))
-    first = materialize(vault.build(vault.values(pages, ["page_id"])), "vault")
-    both = vault.build(vault.values(scanned(spark, sf_dir), ["doc_id"]), existing=first)
+    first = materialize(vault.build(vault.values(vault.placed(pages, ["page_id"]), ["page_id"])), "vault")
+    both = vault.build(vault.values(vault.placed(scanned(spark, sf_dir), ["doc_id"]), ["doc_id"]), existing=first)
     return both.select("seq", "category", "real")
 
 
 def vault_export(spark, sf_dir):
     """The vault as lines of JSON, in order."""
-    entries = materialize(vault.build(vault.values(scanned(spark, sf_dir), ["doc_id"])), "vault")
+    entries = materialize(vault.build(vault.values(vault.placed(scanned(spark, sf_dir), ["doc_id"]), ["doc_id"])), "vault")
     return sinks.vault_lines(entries).where("ord BETWEEN 0 AND 1000000000").select(F.col("ord").cast(LONG).alias("ord"), "line")
 
 

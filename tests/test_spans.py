@@ -48,11 +48,9 @@ def test_long_runs_stay_linear(spark):
     assert [len(x) for x in found(spark, texts)] == [len(model(texts[0])), 1, *map(len, map(model, texts[2:]))]
 
 
-def test_trigger_lets_every_match_through():
-    for _, group in patterns.GROUPS:
-        assert group
-    for t in CASES:
-        assert not model(t) or re.search(patterns.TRIGGER.removeprefix("(?U)"), t)
+def test_trigger_lets_every_match_through(spark):
+    df = spark.createDataFrame([(t,) for t in CASES], "t string").select("t", S.may_match(F.col("t")).alias("may")).collect()
+    assert all(r.may for r in df if model(r.t)) and not all(r.may for r in df)
 
 
 SPANS = [("a", 0, 3), ("b", 2, 5), ("a", 6, 9), ("a", 8, 12), ("c", 8, 9), ("a", 11, 12), ("a", 30, 31), ("b", 13, 13)]
