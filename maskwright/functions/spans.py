@@ -100,10 +100,11 @@ def by_start_and_size(spans: Column) -> Column:
     return F.transform(F.array_sort(numbered), lambda x: x["s"])
 
 
-def placeable(spans: Column | str, text: Column | str, empty: bool = True, ordered: bool = False) -> Column:
-    """Spans in order of start without those that begin before the last kept one ends or lie outside of the text."""
-    spans, size = _col(spans), F.octet_length(_col(text))
-    start = F.struct(F.lit(0).alias("at"), F.filter(spans, lambda s: F.lit(False)).alias("kept"))
+def placeable(spans: Column | str, text: Column | str | None, empty: bool = True, ordered: bool = False, size: Column | None = None) -> Column:
+    """Spans in order of start without those that begin before the last kept one ends or lie outside of the text, of
+    which its ``size`` in bytes is enough."""
+    spans, size = _col(spans), F.octet_length(_col(text)) if size is None else size
+    start = F.struct(F.lit(0).alias("at"), no_spans().alias("kept"))
     fits = lambda a, s: (s["start"] >= a["at"]) & (s["end"] <= size) & ((s["start"] <= s["end"]) if empty else (s["start"] < s["end"]))
     step = lambda a, s: F.when(fits(a, s), F.struct(s["end"].alias("at"), F.concat(a["kept"], F.array(s)).alias("kept"))).otherwise(a)
     return F.aggregate(spans if ordered else by_start(spans), start, step, lambda a: a["kept"])

@@ -15,7 +15,7 @@ from maskwright.functions.spans import splice
 from maskwright.operators.shared import materialize
 
 #: A vault of up to so many entries becomes one expression; a larger one goes to workers in blocks of BLOCK entries.
-SMALL, BLOCK = 1000, 500_000
+SMALL, BLOCK = 64, 500_000
 
 
 def _entries(vault: DataFrame, most: int) -> list[tuple[str, str]]:
@@ -52,16 +52,15 @@ def restore(docs: DataFrame, vault: DataFrame, key: list[str], text: str = "anon
     return docs.join(found, key, "left").withColumn(out, splice(text, F.coalesce("_found", F.array().cast("array<struct<start:int,end:int,real:string>>")), lambda m: m["real"])).drop("_found")
 
 
-def matches(docs: DataFrame, vault: DataFrame, key: list[str], text: str, block: int = BLOCK) -> DataFrame:
-    """``key`` and _found: the surrogates to be replaced, of a vault of any size.
+def occurrences(docs: DataFrame, vault: DataFrame, key: list[str], text: str, block: int = BLOCK) -> DataFrame:
+    """``key``, start, end (in bytes), fake and real: wherever a surrogate of the vault, of any size, occurs.
 
-    Each block of the vault passes over the texts with an automaton; a text's matches from all blocks are then chosen
-    from left to right. ``key`` must name a row.
+    Each block of the vault passes over the texts with an automaton. ``key`` must name a row.
     """
     rows = vault.where("fake <> ''").groupBy("fake").agg(F.min(F.struct("seq", "real")).alias("f")).select("fake", "f.real")
     blocks = max(1, -(-rows.count() // block))
     spark = docs.sparkSession
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*key).schema), "start int", "end int", "real string"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*key).schema), "start int", "end int", "fake string", "real string"])
     found = None
     for i in range(blocks):
         held = rows.where(F.pmod(F.xxhash64("fake"), F.lit(blocks)) == i).collect()  # about ``block``
@@ -76,7 +75,7 @@ def matches(docs: DataFrame, vault: DataFrame, key: list[str], text: str, block:
                 automaton.add_word(fake, (len(fake), fake, real))
             automaton.make_automaton()
             for batch in batches:
-                at, starts, ends, reals = [], [], [], []
+                at, starts, ends, fakes, reals = [], [], [], [], []
                 for n, value in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                     last = (0, 0)  # characters and bytes so far
                     hits = sorted((end + 1 - size, size, fake, real) for end, (size, fake, real) in automaton.iter(value)) if value and shared.value else ()
@@ -85,13 +84,19 @@ def matches(docs: DataFrame, vault: DataFrame, key: list[str], text: str, block:
                         at.append(n)
                         starts.append(last[1])
                         ends.append(last[1] + len(fake.encode()))
+                        fakes.append(fake)
                         reals.append(real)
                 columns = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(reals, pa.string())], names=[*key, "start", "end", "real"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(fakes, pa.string()), pa.array(reals, pa.string())], names=[*key, "start", "end", "fake", "real"])
 
         part = docs.select(*key, text).mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
-    found = materialize(found, "restore-matches")
+    return materialize(found, "restore-matches")
+
+
+def matches(docs: DataFrame, vault: DataFrame, key: list[str], text: str, block: int = BLOCK) -> DataFrame:
+    """``key`` and _found: the surrogates to be replaced, chosen from left to right among all that occur."""
+    found = occurrences(docs, vault, key, text, block)
     longest = F.transform(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("e"), "real"))), lambda m: F.struct(m["start"].alias("start"), (-m["e"]).alias("end"), m["real"].alias("real")))
     every = found.groupBy(*key).agg(longest.alias("_all"))
     start = F.struct(F.lit(0).alias("at"), F.filter("_all", lambda m: F.lit(False)).alias("kept"))
@@ -100,15 +105,11 @@ def matches(docs: DataFrame, vault: DataFrame, key: list[str], text: str, block:
 
 
 def restore_plan(docs: DataFrame, vault: DataFrame, key: list[str], text: str = "anonymized") -> DataFrame:
-    """``key``, n_entries: how many of the vault's entries occur in the text. Vaults of up to SMALL entries."""
-    entries = _entries(vault, SMALL + 1)
-    found = F.array(*[F.lit(f) for f, _ in entries]) if entries else F.array().cast("array<string>")
-    return docs.select(*key, F.size(F.filter(found, lambda f: F.contains(F.col(text), f))).alias("n_entries"))
+    """``key``, n_entries: how many of the vault's surrogates occur in the text."""
+    found = occurrences(docs, vault, key, text).groupBy(*key).agg(F.countDistinct("fake").cast("int").alias("n"))
+    return docs.select(*key).join(found, key, "left").select(*key, F.coalesce("n", F.lit(0)).alias("n_entries"))
 
 
-def without_surrogates(docs: DataFrame, vault: DataFrame, text: str = "text") -> DataFrame:
+def without_surrogates(docs: DataFrame, vault: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """The rows whose text holds no surrogate of the vault; others have been anonymized already."""
-    entries = _entries(vault, SMALL + 1)
-    return docs.where(~F.coalesce(F.col(text).rlike(pattern([f for f, _ in entries])), F.lit(False))) if entries else docs
-
-
+    return docs.join(occurrences(docs, vault, key, text).select(*key).distinct(), key, "left_anti")

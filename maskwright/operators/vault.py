@@ -18,10 +18,12 @@ ATTEMPTS = 4
 
 
 def placed(docs: DataFrame, key: list[str], scope: list[str] | None = None, text: str = "text", spans: str = "spans") -> DataFrame:
-    """``key``, scope and kept: the spans that are replaced, of texts that have any. A narrow table in the shared folder,
-    so texts are scanned once, however often it is read."""
+    """``key``, scope and kept: the spans that are replaced, of texts that have any, from a narrow table in the shared
+    folder; so texts are scanned once, however often it is read."""
     names = list(dict.fromkeys([*key, *(scope or [])]))
-    return materialize(docs.select(*names, S.placeable(spans, text).alias("kept")).where("size(kept) > 0"), "placed")
+    # Written as they are found: a filter or a fold on spans in the same step would find them again for each use.
+    found = materialize(docs.select(*names, F.col(spans).alias("_spans"), F.octet_length(text).alias("_size")), "spans")
+    return found.where("size(_spans) > 0").select(*names, S.placeable("_spans", None, size=F.col("_size")).alias("kept"))
 
 
 def values(placed: DataFrame, order: list[str], scope: list[str] | None = None) -> DataFrame:

@@ -166,6 +166,7 @@ ORACLES: dict[str, str] = {
     "anonymize_documents": _spliced(surrogate("category", "t"), "anonymized", ", count(category) AS n_placements"),
     "anonymize_subs": f"WITH {spans(DOCS)} SELECT id AS doc_id, n, text AS real, {surrogate('category', 'text')} AS fake FROM spans",
     "deanonymize_roundtrip": "SELECT doc_id, md5(text) AS restored_md5 FROM documents",
+    "restore_plan": f"WITH {spans(DOCS)} SELECT src.id AS doc_id, count(DISTINCT category || spans.text) AS n_entries FROM src LEFT JOIN spans USING (id) GROUP BY src.id",
     "restore_longest_prefix": """WITH t AS (SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT 'fk' || l_partkey || 'é fkfk' || l_suppkey)), ' ') AS a FROM lineitem GROUP BY 1)
         SELECT l_orderkey, regexp_replace(a, 'fk(1500|1[0-4][0-9]{2}|[1-9][0-9]{2}|[1-9][0-9]|[1-9])', 'R\\1!', 'g') AS restored FROM t""",
     "vault_cap": f"{_FIRST_SEEN} SELECT *, CASE WHEN seq > (SELECT max(seq) FROM vault) - 10 THEN 'kept' ELSE 'gone' END AS state FROM vault",

@@ -164,6 +164,12 @@ def deanonymize_roundtrip(spark, sf_dir):
     return back.select("doc_id", F.md5(F.col("restored").cast("binary")).alias("restored_md5"))
 
 
+def restore_plan(spark, sf_dir):
+    """How many surrogates each anonymized document holds; none is left in those that are restored."""
+    out, entries = vault.anonymize_corpus(scanned(spark, sf_dir), ["doc_id"])
+    return restore.restore_plan(out, entries, ["doc_id"]).withColumn("n_entries", F.col("n_entries").cast(LONG))
+
+
 def restore_longest_prefix(spark, sf_dir):
     entries = spark.range(1, 1501).select(F.col("id").alias("seq"), F.lit("secret").alias("category"), F.concat(F.lit("R"), "id", F.lit("!")).alias("real"), F.concat(F.lit("fk"), "id").alias("fake"))
     docs = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("fk"), "l_partkey", F.lit("é fkfk"), "l_suppkey"))), " ").alias("anonymized"))
@@ -410,7 +416,7 @@ QUERIES = {
     "date_phone_variants": _synthetic_scan("contacts"), "redact_label": _redacted("label"), "redact_block": _redacted("block"), "redact_char": _redacted("char"),
     "mask_reduction": mask_reduction, "mask_remap": mask_remap, "merge_overlapping": merge_overlapping, "combine_anti": combine_anti,
     "vault_first_seen": vault_first_seen, "anonymize_documents": anonymize_documents, "anonymize_subs": anonymize_subs, "deanonymize_roundtrip": deanonymize_roundtrip,
-    "restore_longest_prefix": restore_longest_prefix, "vault_cap": vault_cap, "vault_resume": vault_resume, "vault_export": vault_export,
+    "restore_plan": restore_plan, "restore_longest_prefix": restore_longest_prefix, "vault_cap": vault_cap, "vault_resume": vault_resume, "vault_export": vault_export,
     "eval_counts": eval_counts, "eval_table": eval_table, "token_windows": token_windows, "decode_spans": decode_spans, "min_score_filter": min_score_filter,
     "tsv_unescape": tsv_unescape, "char_to_byte": char_to_byte, "json_string_leaves": json_string_leaves, "json_write_back": json_write_back,
     "prose_filter": prose_filter, "scan_report": scan_report, "jsonl_reframe": jsonl_reframe, "source_lines": source_lines, "source_jsonl": source_jsonl,

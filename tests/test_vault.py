@@ -40,7 +40,7 @@ def test_one_surrogate_for_each_value_in_order(spark, docs):
     back = R.restore(out, vault, ["doc_id"])
     assert all(r.restored == r.text for r in back.collect())
     assert {r.doc_id: r.n_entries for r in R.restore_plan(out, vault, ["doc_id"]).collect()}[0] == 3
-    assert {r.doc_id for r in R.without_surrogates(out, vault, "anonymized").collect()} == {1, 3, 4}
+    assert {r.doc_id for r in R.without_surrogates(out, vault, ["doc_id"], "anonymized").collect()} == {1, 3, 4}
 
 
 def test_scoped_vaults(spark, docs):
