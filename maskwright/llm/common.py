@@ -1,14 +1,14 @@
-"""What the training-data operators share: tables in the shared folder, lookups that stand hot keys, streams of groups."""
+"""What the training-data operators share: tables in the shared folder, and lookups that stand hot keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwright.operators.shared import discard, materialize, shared_dir
+
+__all__ = ["HOT_SHARE", "discard", "lookup", "materialize", "shared_dir", "spread", "table"]
+
 #: A key is hot when it has at least this share of the rows; so at most 1 / HOT_SHARE keys are.
 HOT_SHARE = 0.001
 
@@ -18,39 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share.
-
-    The cluster names that folder in ``spark.checkpoint.dir``. Where it is unset and everything runs in one
-    process, as in tests, a temporary folder serves; on a cluster that is an error.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="maskwright-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again.
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` dealt out to all cores where they come from a single file; passes over texts are bound by the processor.
 
-    Cuts the lineage where a result is used more than once; a lost executor loses no part of it.
+    Tables of more files are left as they are.
     """
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.shared_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete what ``materialize`` wrote, once nothing reads it any more."""
-    for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.shared_path)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if len(docs.inputFiles()) == 1 else docs
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, count: str, spread: Column | str, how: str = "left") -> DataFrame:
@@ -74,32 +47,3 @@ def lookup(left: DataFrame, right: DataFrame, key: str, count: str, spread: Colu
     if how == "inner":
         out = out.where(found.isNotNull())
     return out.select(*left.columns, *(found[c].alias(c) for c in names))
-
-
-def groups(batches: Iterator, keys: list[str]) -> Iterator:
-    """Arrow tables, one per run of rows with equal ``keys``, from batches whose rows are sorted by ``keys``."""
-    import numpy as np
-    import pyarrow as pa
-
-    held: list = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
-        change = np.zeros(batch.num_rows, dtype=bool)
-        for c in columns:
-            values = c.to_numpy(zero_copy_only=False)
-            change[1:] |= values[1:] != values[:-1]
-        starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for a, b in zip(starts, starts[1:], strict=False):
-            if a == b:
-                continue
-            key = tuple(c[a].as_py() for c in columns)
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = key
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)

@@ -27,6 +27,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.llm.common import spread
+
 LABELLED, POOL, ROUNDS, BATCH = 8000, 4000, 3, 0.1
 #: Positions of the hashed features: of words, of the text view, whose shapes follow the words, and of the metadata view.
 WORD_BITS, TEXT_BITS, META_BITS = 18, 19, 14
@@ -289,7 +291,7 @@ def score(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -> Da
                 names=[c.split()[0] for c in out.split(", ")],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *FIELDS).mapInArrow(run, out)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *FIELDS)).mapInArrow(run, out)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

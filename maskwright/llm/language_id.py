@@ -25,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskwright.llm.common import spread
+
 SAMPLE, WORDS, GRAMS = 3000, 40_000, 60_000
 #: The lengths of n-grams, in the order in which they are tried.
 LENGTHS = (5, 4, 3, 2, 1)
@@ -173,7 +175,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 scores.append(float(p[best] / p.sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def fold(doc_id: str | Column = "doc_id") -> Column:

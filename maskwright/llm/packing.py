@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import materialize
+from maskwright.llm.common import materialize, spread
 
 #: Entries of each half of a worker's cache of tokenised words; when one is full it replaces the other.
 CACHE = 250_000
@@ -136,7 +136,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
