@@ -21,3 +21,58 @@ def test_query_matches_sql(spark, name):
 
 def test_all_ten_are_registered():
     assert sorted(int(n.split("_")[0][2:]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def documents(spark):
+    return [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def test_op9_against_brute_force(spark):
+    from tests.llm.test_jaccard_join import brute
+
+    got = sorted(tuple(r)[:4] for r in queries.op9_jaccard_join(spark, DATA).collect())
+    assert got == sorted(brute(documents(spark)))
+
+
+def test_op10_against_brute_force(spark):
+    from maskwright.llm import substring_dedup as S
+
+    seen, want = set(), {}
+    for doc_id, text in sorted(documents(spark)):
+        gone = set()
+        for i, n, digest in S.spans(text or ""):
+            gone.update(range(i, i + n) if digest in seen else ())
+            seen.add(digest)
+        places = S.sentences(text or "")
+        want[doc_id] = (len(places), len(gone), "".join(text[a:b] for k, (a, b) in enumerate(places) if k not in gone))
+    got = {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in queries.op10_substring_dedup(spark, DATA).collect()}
+    assert got == want and any(w[1] for w in want.values())
+
+
+def test_op2_against_the_tokenizer(spark):
+    import zlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    tokenizer, fill, total = Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json")), {}, 0
+    ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in documents(spark)}
+    for r in queries.op2_best_fit_packing(spark, DATA).collect():
+        piece = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.start == 2048 * r.piece and len(piece) == r.length and r.ids_crc32 == zlib.crc32(np.array(piece, "<u4").tobytes())
+        fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        total += r.length
+    assert total == sum(map(len, ids.values())) and len(fill) <= 1.03 * total / 2048 + 1
+    for parts in fill.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(parts), sorted(parts)[1:], strict=False)) and min(parts)[0] == 0 and sum(n for _, n in parts) <= 2048
+
+
+def test_op1_finds_the_keys_of_known_formats(spark):
+    import re
+
+    larger = "/root/testdata/sf0.01"
+    found = {(r.doc_id, r.start): r for r in queries.op1_secret_scan(spark, larger).collect()}
+    texts = [tuple(r) for r in spark.read.parquet(f"{larger}/documents.parquet").select("doc_id", "text").collect()]
+    keys = [(i, m.start(1)) for i, t in texts for p in (r"\b(AKIA[A-Z0-9]{16})\b", r"token = \"([0-9a-f]{40})\"") for m in re.finditer(p, t or "")]
+    assert len(keys) > 5 and all(found[k].secret for k in keys)
+    assert not any(r.secret for r in found.values() if r.length < 20)
