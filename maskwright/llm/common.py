@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,12 +37,12 @@ def lookup(left: DataFrame, right: DataFrame, key: str, count: str, spread: Colu
     """
     total = right.agg(F.sum(count)).first()[0] or 0
     names = [c for c in right.columns if c != key]
-    least = max(2, int(total * HOT_SHARE))
+    least = max(2, math.ceil(total * HOT_SHARE))  # so at most 1 / HOT_SHARE keys have as many
     hot = right.where(F.col(count) >= least).select(F.col(key).alias("_hk"), F.struct(*names).alias("_hot"))
     cold = right.where(F.col(count) < least).select(
         F.struct(F.col(key).alias("k"), F.lit(0).alias("s")).alias("_k"), F.struct(*names).alias("_cold")
     )
-    out = left.join(F.broadcast(hot.limit(int(1 / HOT_SHARE) + 1)), left[key] == F.col("_hk"), "left") if total >= 2 else left.withColumn("_hot", F.lit(None).cast(hot.schema["_hot"].dataType)).withColumn("_hk", F.lit(None))
+    out = left.join(F.broadcast(hot), left[key] == F.col("_hk"), "left") if total >= 2 else left.withColumn("_hot", F.lit(None).cast(hot.schema["_hot"].dataType)).withColumn("_hk", F.lit(None))
     salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(1_000_000)).cast("int") + 1).otherwise(0)
     out = out.withColumn("_k", F.struct(F.col(key).alias("k"), salt.alias("s"))).join(cold, "_k", "left")
     found = F.coalesce("_hot", "_cold")
