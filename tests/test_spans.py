@@ -106,12 +106,13 @@ def test_mask_and_remap(spark):
 
 def test_combine_drops_what_overlaps_a_pattern(spark):
     text = "Ann é 2020-01-02 Bob"
-    df = spark.createDataFrame([(text,)], "text string").withColumn("r", S.regex_spans("text")).withColumn("m", S.mask("text", "r"))
+    model = [("private_person", 0, 3, "", 0.9), ("private_person", 9, 12, "", 0.8), ("secret", 4, 8, "", 0.7), ("secret", 5, 6, "", 0.7), ("private_person", 9, 99, "", 0.7)]
+    df = spark.createDataFrame([(text, model)], f"text string, model {S.SPANS}").withColumn("r", S.regex_spans("text")).withColumn("m", S.mask("text", "r"))
     assert df.first().m.text == "Ann é   Bob"
-    model = [("private_person", 0, 3, "", 0.9), ("private_person", 9, 12, "", 0.8), ("secret", 4, 8, "", 0.7), ("secret", 5, 6, "", 0.7), ("secret", 9, 99, "", 0.7)]
-    df = df.withColumn("model", F.from_json(F.lit("[]"), S.SPANS)).drop("model").crossJoin(spark.createDataFrame([(model,)], f"model {S.SPANS}"))
     got = df.select(S.combine("text", "r", "model", "m.segments")).first()[0]
-    assert [(s.category, s.start, s.end, s.text) for s in got] == [("private_person", 0, 3, "Ann"), ("private_date", 7, 17, "2020-01-02"), ("private_person", 18, 21, "Bob"), ("secret", 18, 21, "Bob")] or [s.text for s in got][:3] == ["Ann", "2020-01-02", "Bob"]
+    # The one from 4 meets the date, that from 5 cuts a character; what ends beyond the text ends where it does.
+    want = [("private_person", 0, 3, "Ann"), ("private_date", 7, 17, "2020-01-02"), ("private_person", 18, 21, "Bob")]
+    assert [(s.category, s.start, s.end, s.text) for s in got] == want
 
 
 @pytest.mark.parametrize("a, b, want", [(0, 2, None), (3, 7, "llo"), (6, 7, None), (5, 8, "o w")])
