@@ -26,7 +26,8 @@ SAMPLE, TREES, DEPTH, SEED = 20_000, 30, 8, 7
 COMMON = 5
 #: Characters beside a candidate that are looked at.
 NEAR = 48
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9])"
+#: A ``=`` before a run assigns it, and belongs to it only as padding at its end.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 #: Formats that providers give their keys.
 PROVIDER = "|".join((
     r"^(?:AKIA|ASIA)[A-Z0-9]{16}$", r"^gh[oprsu]_[A-Za-z0-9]{36}$", r"^github_pat_[A-Za-z0-9_]{40,}$", r"^AIza[A-Za-z0-9_-]{35}$",
@@ -78,11 +79,13 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
         sizes, begin, lambda a, s: F.struct((a["at"] + s["gap"] + s["size"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + s["gap"])).alias("starts")),
         lambda a: a["starts"],
     )
+    # A run that is assigned to, as API2_ACCESS_TOKEN=, is the name of the next.
+    name = lambda i: F.when((i > 0) & F.get("gaps", i).rlike(r"^[\"']?\s*[=:]\s*[\"']?$"), F.get("found", i - 1)).otherwise("")
     each = F.transform(
         F.arrays_zip(F.col("found").alias("value"), starts.alias("start")),
         lambda z, i: F.struct(
             z["start"].alias("start"), z["value"].alias("value"),
-            F.right(F.get("gaps", i), F.lit(NEAR)).alias("before"), F.left(F.get("gaps", i + 1), F.lit(NEAR)).alias("after"),
+            F.right(F.concat(name(i), F.get("gaps", i)), F.lit(NEAR)).alias("before"), F.left(F.get("gaps", i + 1), F.lit(NEAR)).alias("after"),
         ),
     )
     return some.select("doc_id", "path", F.explode(each).alias("c")).select("doc_id", "path", "c.*")
