@@ -1,6 +1,8 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest. DataFrame expressions and MLlib only.
 
-A candidate is a run of 16 or more characters of keys with a digit among them. What tells a key from another such run:
+A candidate is a run of 16 or more characters of keys with a digit among them, a run in a provider's format, or a value
+of any make-up and length after a name such as password and = or : (in quotes, what is between them on one line; else up
+to white space, quotes, brackets or one of & , ; |), unless such a run covers it. What tells a key from another such run:
 its length and make-up, how likely its character transitions are in the corpus's own words, how much of it dictionary
 words cover, the path it was found in, and the words beside it. Transitions and dictionary come from the words of all
 documents. The forest is fitted on labelled findings, at most about SAMPLE of them; without any, ``label_findings``
@@ -34,6 +36,13 @@ PROVIDER = "|".join((
     r"^xox[baprs]-[A-Za-z0-9-]{10,}$", r"^[sr]k_(?:live|test)_[A-Za-z0-9]{16,}$", r"^glpat-[A-Za-z0-9_-]{20}$", r"^npm_[A-Za-z0-9]{36}$",
 ))
 NAMED = r"(?i)(?:secret|token|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential)[A-Za-z_]*[\"']?\s*[=:]\s*[\"']?$"
+#: Keys that CANDIDATE passes over for want of a digit or of length: a value and the name (HEAD, as in NAMED) it is given to,
+#: or a provider's format. Names reach no further than NEAR.
+HEAD = NAMED.replace("*", "{0,40}+").replace("|auth|", r"|auth(?!ors?\b)|").removesuffix("$")
+FURTHER = (
+    HEAD + r"(?:(?<=\")[^\"\r\n]++(?=\")|(?<=')[^'\r\n]++(?=')|[^\s\"'&,;<>(){}\[\]|]*[^\s\"'&,;<>(){}\[\]|.:!?])"
+    + r"|(?<![A-Za-z0-9+/_-])(?-i:" + PROVIDER.replace("^", "").replace("$", "") + r")(?![A-Za-z0-9+/_-])"
+)
 DIGEST = r"(?i)(?:commit|sha-?\d*|md5|hash|checksum|digest|etag|uuid|guid|revision)\W{0,4}$"
 PLACEHOLDER = r"(?i)example|dummy|change.?me|placeholder|your.?(?:key|token)|x{6,}|0{8,}"
 SLUG = r"^(?:[A-Za-z]?[a-z]{2,}[-_/]){2,}(?:[a-z]+|[0-9]{1,6})?$"
@@ -69,26 +78,34 @@ def transitions(words: DataFrame) -> Column:
     return F.create_map(*[F.lit(x) for r in rows for x in (r["pair"], float(r["p"]))]) if rows else F.create_map().cast("map<string,double>")
 
 
-def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """doc_id, path, start (in characters), value, and what stands before and after it."""
-    some = docs.select("doc_id", F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), "text").where(F.col("text").rlike(CANDIDATE))
-    some = some.select("doc_id", "path", F.split("text", CANDIDATE, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"))
+def _each(found: str, gaps: str, head: str | None = None) -> Column:
+    """start, value, before and after of each match; ``head`` is what a match may have before its value."""
+    first = lambda m: F.regexp_extract(m, "^" + head, 0) if head else F.lit("")
+    sizes = F.transform(found, lambda m, i: F.struct((F.length(F.get(gaps, i)) + F.length(first(m))).alias("gap"), (F.length(m) - F.length(first(m))).alias("size")))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    sizes = F.transform("found", lambda v, i: F.struct(F.length(F.get("gaps", i)).alias("gap"), F.length(v).alias("size")))
     starts = F.aggregate(
         sizes, begin, lambda a, s: F.struct((a["at"] + s["gap"] + s["size"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + s["gap"])).alias("starts")),
         lambda a: a["starts"],
     )
     # A run that is assigned to, as API2_ACCESS_TOKEN=, is the name of the next.
-    name = lambda i: F.when((i > 0) & F.get("gaps", i).rlike(r"^[\"']?\s*[=:]\s*[\"']?$"), F.get("found", i - 1)).otherwise("")
-    each = F.transform(
-        F.arrays_zip(F.col("found").alias("value"), starts.alias("start")),
+    name = lambda i: F.when((i > 0) & F.get(gaps, i).rlike(r"^[\"']?\s*[=:]\s*[\"']?$"), F.get(found, i - 1)).otherwise("")
+    return F.transform(
+        F.arrays_zip(F.col(found).alias("all"), starts.alias("start")),
         lambda z, i: F.struct(
-            z["start"].alias("start"), z["value"].alias("value"),
-            F.right(F.concat(name(i), F.get("gaps", i)), F.lit(NEAR)).alias("before"), F.left(F.get("gaps", i + 1), F.lit(NEAR)).alias("after"),
+            z["start"].alias("start"), F.substr(z["all"], F.length(first(z["all"])) + 1).alias("value"),
+            F.right(F.concat(name(i), F.get(gaps, i), first(z["all"])), F.lit(NEAR)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(NEAR)).alias("after"),
         ),
     )
-    return some.select("doc_id", "path", F.explode(each).alias("c")).select("doc_id", "path", "c.*")
+
+
+def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
+    """doc_id, path, start (in characters), value, and what stands before and after it."""
+    rows = docs.select("doc_id", F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), "text").where(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(FURTHER))
+    cut = [c for n, p in (("runs", CANDIDATE), ("more", FURTHER)) for c in (F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(n), F.split("text", p, -1).alias(f"{n}_gaps"))]
+    rows = rows.select("doc_id", "path", *cut).select("doc_id", "path", _each("runs", "runs_gaps").alias("runs"), _each("more", "more_gaps", HEAD).alias("more"))
+    within = lambda m, r: (r["start"] <= m["start"]) & (r["start"] + F.length(r["value"]) >= m["start"] + F.length(m["value"]))
+    more = F.filter("more", lambda m: ~F.exists("runs", lambda r: within(m, r)))
+    return rows.select("doc_id", "path", F.explode(F.concat("runs", more)).alias("c")).select("doc_id", "path", "c.*")
 
 
 def label_findings(found: DataFrame) -> DataFrame:
@@ -96,7 +113,7 @@ def label_findings(found: DataFrame) -> DataFrame:
     value, before = F.col("value"), F.col("before")
     number = value.rlike("^[0-9/+_=-]+$")
     no = number | before.rlike(DIGEST) | value.rlike(PLACEHOLDER) | value.rlike("^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$") | value.rlike(SLUG)
-    yes = value.rlike(PROVIDER) | before.rlike(NAMED) & (F.length(value) >= 20) & value.rlike("[A-Za-z]")
+    yes = value.rlike(PROVIDER) | before.rlike(NAMED) & (F.length(value) >= 20) & value.rlike("[A-Za-z]") & value.rlike(f"^(?:{CANDIDATE})$")
     return found.withColumn("label", F.when(value.rlike(PROVIDER), 1.0).when(no, 0.0).when(yes, 1.0))
 
 

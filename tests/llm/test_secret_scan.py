@@ -75,3 +75,21 @@ def test_values_right_after_an_equals_sign(spark):
     assert set(got) == {*enumerate(forms.values()), (7, "abcdefghij0123456789")} and len(got) == len(forms) + 1
     named = spark.createDataFrame([(1, f"API2_ACCESS_TOKEN={hexes}", "s", "p", 1)], SCHEMA)
     assert [(r.value, r.label) for r in S.label_findings(S.candidates(named)).collect() if r.value == hexes] == [(hexes, 1.0)]
+
+
+def test_keys_without_digits_and_short_ones(spark):
+    rng = random.Random(6)
+    letters = lambda k, a=string.ascii_letters: "".join(rng.choices(a, k=k))
+    aws, token, long = "AKIA" + letters(16, string.ascii_uppercase), "ghp_" + letters(36), "correcthorsebatterystaple"
+    forms = [
+        (f"key {aws} here", [aws]), (f"x {token}, y", [token]), ("PASSWORD: 'hunter2' x", ["hunter2"]), (f'secret = "{long}"', [long]),
+        ("é pwd=p@ss! and", ["p@ss"]), ('token: "two words"', ["two words"]), ("a?api_key=abc&b=c", ["abc"]), ("author: Smith", []), (f"x{aws} {token}x", []), ("my password is new", []),
+    ]
+    rows = [(i, text, "s", "p", 1) for i, (text, _) in enumerate(forms)]
+    got = S.candidates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.value) for r in got) == [(i, v) for i, (_, values) in enumerate(forms) for v in values]
+    assert all(forms[r.doc_id][0][r.start :].startswith(r.value) and forms[r.doc_id][0][: r.start].endswith(r.before) for r in got)
+    learned, truth = corpus(5)
+    scored = S.secret_scan(spark.createDataFrame([*learned, *((1000 + i, *r[1:]) for i, r in enumerate(rows))], SCHEMA)).collect()
+    assert {1000, 1001, 1002, 1003} <= {r.doc_id for r in scored if r.secret}
+    assert sum(r.secret == truth[r.doc_id] for r in scored if r.doc_id < 1000) / len(learned) > 0.95
