@@ -4,8 +4,9 @@ A pair holds two conversations, chosen and rejected, as arrays of turns. The lon
 rendered once, as the prompt; what is left of each is rendered as its completion, with the stretches to be trained on:
 the replies of the assistant and the mark that ends them. Each pair is one row and needs no shuffle.
 
-``collect_turns`` makes such arrays of a table of turns, in one shuffle by conversation and block of BLOCK turn
-numbers; so the largest group is bounded by a block, and a longer conversation becomes several.
+``collect_conversations`` makes such arrays of a table of turns, in one shuffle by conversation: a conversation is one
+row, whatever its turns' numbers. ``collect_turns`` does so by conversation and block of BLOCK turn numbers, which bounds
+the groups but parts a conversation.
 
 Defined cases: rows without conv_id or turn belong to no conversation. A null role is ``unknown``, a null text empty.
 Rows that repeat all four columns count once; different rows with one turn number are ordered by role and text. The
@@ -85,6 +86,18 @@ def collect_turns(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.groupBy("conv_id", "block").agg(said.cast(TURNS).alias("turns"))
 
 
+def collect_conversations(turns: DataFrame) -> DataFrame:
+    """conv_id, the block that the conversation begins in, and all its turns in order.
+
+    Turns are gathered before the shuffle, so a task gets a row of a conversation from each task before it, not one a turn.
+    """
+    rows = turns.where("conv_id IS NOT NULL AND turn IS NOT NULL").select(
+        "conv_id", "turn", F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t")
+    )
+    said = F.transform(F.array_sort(F.collect_set("t")), lambda t: F.struct(t["role"], t["text"]))
+    return rows.groupBy("conv_id").agg(F.floor(F.min("turn") / BLOCK).cast("long").alias("block"), said.cast(TURNS).alias("turns"))
+
+
 def with_weaker_reply(conversations: DataFrame) -> DataFrame:
     """Pairs from conversations alone: conv_id, block, chosen and rejected.
 
@@ -101,8 +114,8 @@ def with_weaker_reply(conversations: DataFrame) -> DataFrame:
 
 
 def preferences(turns: DataFrame) -> DataFrame:
-    """Formatted pairs of a table of conversations."""
-    return format_preferences(with_weaker_reply(collect_turns(turns)), "conv_id", "block")
+    """Formatted pairs of a table of conversations, one of each."""
+    return format_preferences(with_weaker_reply(collect_conversations(turns)), "conv_id", "block")
 
 
 def spans_text(column: str) -> Column:

@@ -61,3 +61,19 @@ def test_no_python_on_the_executors(spark):
     turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
     plan = P.preferences(turns.withColumn("turn", F.col("turn") + 1))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_a_conversation_is_one_pair_whatever_its_numbers(spark):
+    role = lambda t: "user" if t % 2 == 0 else "assistant"
+    rows = [(1, t, role(t), f"t{t}") for t in range(2500)]
+    rows += [(2, 999, "user", "question"), (2, 1000, "assistant", "answer")]
+    rows += [(3, 1_700_000_000_000 + 5000 * t, role(t), f"s{t}") for t in range(4)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = {r.conv_id: r for r in P.preferences(turns).collect()}
+    assert len(got) == P.preferences(turns).count() == 3
+    for k, replies in ((1, ("t2499", "t1")), (2, ("answer", "")), (3, ("s3", "s1"))):
+        mine = [(r, t) for c, _, r, t in rows if c == k]
+        n, prompt, chosen, rejected, cs, rs = brute(mine, [*mine[:-1], ("assistant", replies[1])])
+        r = got[k]
+        assert (r.n_common, r.prompt, r.chosen, r.rejected) == (n, prompt, chosen, rejected) and replies[0] in chosen
+        assert [tuple(x) for x in r.chosen_spans] == cs and [tuple(x) for x in r.rejected_spans] == rs
