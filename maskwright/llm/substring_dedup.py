@@ -8,7 +8,10 @@ covers are removed.
 A task first compares the spans it holds itself, so of a span that a third of the corpus repeats each task passes on
 one; those meet by hash in one shuffle, and the places of repeated spans go back to their documents.
 
-Defined cases: sentences end after ``.``, ``!`` or ``?`` (and closing quotes or brackets) before white space, after
+With ``ends``, every sentence also ends a span, the shortest such run up to it, so that of a passage that is a span or
+more all sentences go, its last ones too.
+
+Defined cases: a character of a script that is written without spaces counts as a word. Sentences end after ``.``, ``!`` or ``?`` (and closing quotes or brackets) before white space, after
 their full-width forms, and at a line's end; white space within them doesn't count. A null text stays null, with no
 sentences. Too short a rest of a document begins no span. Rows that repeat both doc_id and text are one document and
 get the same result each. Rows without a doc_id come after all others. Extra columns are ignored.
@@ -26,6 +29,8 @@ MIN_SENTENCES, MIN_WORDS, LONG_WORDS = 2, 20, 40
 #: Spans that a task compares at once.
 HELD = 400_000
 END = re.compile(r"(?:[.!?…]+[\"')\]»”’]*(?=\s)|[。！？]+|\n)\s*")
+#: Scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana and the Han characters.
+SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 SPANS = "h1 long, h2 long, did long, tid long, pos int, size int, again boolean"
 CLEAN = "doc_id long, n_sentences long, n_removed long, spans array<struct<start:int,end:int>>, text string"
 
@@ -36,15 +41,40 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b and not text[a:b].isspace()]
 
 
-def spans(text: str, least: int = MIN_SENTENCES, words: int = MIN_WORDS, long: int = LONG_WORDS) -> list[tuple[int, int, bytes]]:
-    """(first sentence, number of sentences, digest) of each span."""
+def _sizes(text: str) -> tuple[list[int], list[bytes]]:
+    """The number of words and the digest of each sentence."""
     from xxhash import xxh3_128_digest
 
-    digests, n = [], []
+    n, digests = [], []
     for a, b in sentences(text):
         w = text[a:b].split()
-        n.append(len(w))
-        digests.append(xxh3_128_digest(" ".join(w)))
+        plain = " ".join(w)
+        n.append(len(w) if plain.isascii() else len(SPACELESS.sub(" x ", plain).split()))
+        digests.append(xxh3_128_digest(plain))
+    return n, digests
+
+
+def end_spans(text: str, least: int = MIN_SENTENCES, words: int = MIN_WORDS, long: int = LONG_WORDS) -> list[tuple[int, int, bytes]]:
+    """As ``spans``, for the shortest run that ends with each sentence."""
+    from xxhash import xxh3_128_digest
+
+    n, digests = _sizes(text)
+    out = []
+    for j in range(1, len(n) + 1):
+        i, held = j, 0
+        while i > 0 and not (held >= words and j - i >= least) and not (j - i == 1 and held >= long):
+            i -= 1
+            held += n[i]
+        if held >= words and j - i >= least or j - i == 1 and held >= long:
+            out.append((i, j - i, xxh3_128_digest(b"".join(digests[i:j]))))
+    return out
+
+
+def spans(text: str, least: int = MIN_SENTENCES, words: int = MIN_WORDS, long: int = LONG_WORDS) -> list[tuple[int, int, bytes]]:
+    """(first sentence, number of sentences, digest) of each span."""
+    from xxhash import xxh3_128_digest
+
+    n, digests = _sizes(text)
     out, j, held = [], 0, 0
     for i in range(len(n)):
         while j < len(n) and not (held >= words and j - i >= least) and not (j - i == 1 and held >= long):
@@ -59,7 +89,7 @@ def spans(text: str, least: int = MIN_SENTENCES, words: int = MIN_WORDS, long: i
     return out
 
 
-def _spans(docs: DataFrame, least: int, words: int, long: int) -> DataFrame:
+def _spans(docs: DataFrame, least: int, words: int, long: int, ends: bool = False) -> DataFrame:
     """A row per span; ``again`` where the task has seen an earlier equal one."""
 
     def run(batches: Iterator) -> Iterator:
@@ -86,7 +116,10 @@ def _spans(docs: DataFrame, least: int, words: int, long: int) -> DataFrame:
         places: list[tuple] = []
         for batch in batches:
             for did, tid, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for i, n, digest in spans(text or "", least, words, long):
+                found = spans(text or "", least, words, long)
+                if ends:
+                    found = sorted({*found, *end_spans(text or "", least, words, long)})
+                for i, n, digest in found:
                     keys.append(digest)
                     places.append((did, tid, i, n))
             if len(keys) >= HELD:
@@ -98,12 +131,12 @@ def _spans(docs: DataFrame, least: int, words: int, long: int) -> DataFrame:
     return docs.mapInArrow(run, SPANS)
 
 
-def substring_dedup(docs: DataFrame, least: int = MIN_SENTENCES, words: int = MIN_WORDS, long: int = LONG_WORDS) -> DataFrame:
+def substring_dedup(docs: DataFrame, least: int = MIN_SENTENCES, words: int = MIN_WORDS, long: int = LONG_WORDS, ends: bool = False) -> DataFrame:
     """doc_id, n_sentences, n_removed, the removed stretches of the text, and the text without them."""
     # An id for sorting and joining that is never null, and what tells rows with one id apart.
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     keyed = docs.select(did.alias("did"), F.xxhash64("text").alias("tid"), "text")
-    found = _spans(keyed, least, words, long)
+    found = _spans(keyed, least, words, long, ends)
     rank = F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy("did", "tid", "pos"))
     repeated = found.withColumn("rank", rank).where("again OR rank > 1")
     marks = repeated.groupBy("did", "tid").agg(F.collect_set(F.struct("pos", "size")).alias("marks"))

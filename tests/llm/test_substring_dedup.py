@@ -68,3 +68,21 @@ def test_against_brute_force(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert S.substring_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_all_sentences_of_a_planted_passage_go(spark):
+    rng = random.Random(9)
+    sentence = lambda k: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(k)) + "."
+    for sizes in ((40, 15), (38, 8, 8), (12, 12, 12, 12, 12), (25, 9, 7, 3), (10, 10, 45, 2)):
+        passage = " ".join(sentence(k) for k in sizes)
+        rows = [(i, f"{sentence(30)} {passage} {sentence(30)}", 0, "x") for i in range(3)]
+        got = {r.doc_id: r for r in S.substring_dedup(spark.createDataFrame(rows, SCHEMA), ends=True).collect()}
+        assert [got[i].n_removed for i in range(3)] == [0, len(sizes), len(sizes)], sizes
+        assert all(passage.split()[0] not in got[i].text and passage.split()[-1] not in got[i].text for i in (1, 2))
+
+
+def test_characters_count_in_scripts_without_spaces(spark):
+    passage = "今日は天気がとても良いので散歩に行きます。明日は雨が降るそうですから家で本を読みます。"
+    rows = [(i, f"{chr(0x4E00 + i) * 25}。{passage}{chr(0x5E00 + i) * 25}。", 0, "x") for i in range(3)]
+    got = {r.doc_id: r for r in S.substring_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0].n_removed == 0 and all(got[i].n_removed == 2 and passage not in got[i].text for i in (1, 2))
