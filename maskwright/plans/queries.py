@@ -286,6 +286,12 @@ def jsonl_reframe(spark, sf_dir):
     return docs.select("doc_id", sinks.reframed("raw", "new").alias("line"))
 
 
+def jsonl_reframe_whole(spark, sf_dir):
+    """The same with the whole redacted text, which DuckDB's SQL can't escape as JSON does."""
+    docs = scanned(spark, sf_dir).select("doc_id", F.concat(F.lit('{"z":1.5,"text":"old","doc":'), "doc_id", F.lit("}")).alias("raw"), S.redact("text", "spans").alias("new"))
+    return docs.select("doc_id", sinks.reframed("raw", "new").alias("line"))
+
+
 def source_lines(spark, sf_dir):
     """Documents written as escaped lines and read again, by number."""
     path = shared_dir(spark, "lines")
@@ -419,7 +425,7 @@ QUERIES = {
     "restore_plan": restore_plan, "restore_longest_prefix": restore_longest_prefix, "vault_cap": vault_cap, "vault_resume": vault_resume, "vault_export": vault_export,
     "eval_counts": eval_counts, "eval_table": eval_table, "token_windows": token_windows, "decode_spans": decode_spans, "min_score_filter": min_score_filter,
     "tsv_unescape": tsv_unescape, "char_to_byte": char_to_byte, "json_string_leaves": json_string_leaves, "json_write_back": json_write_back,
-    "prose_filter": prose_filter, "scan_report": scan_report, "jsonl_reframe": jsonl_reframe, "source_lines": source_lines, "source_jsonl": source_jsonl,
+    "prose_filter": prose_filter, "scan_report": scan_report, "jsonl_reframe": jsonl_reframe, "jsonl_reframe_whole": jsonl_reframe_whole, "source_lines": source_lines, "source_jsonl": source_jsonl,
     "source_tsv": source_tsv, "source_delimited": source_delimited, "source_files": source_files, "labelled_corpus": labelled_corpus,
     "conversation_anonymize": conversation_anonymize, "ooxml_rewrite": _rewritten("docx"), "pdf_rewrite": _rewritten("pdf"),
     "stream_vault": stream_vault, "stream_restore": stream_restore, "stream_outcomes": stream_outcomes,
