@@ -1,4 +1,4 @@
-"""What the training-data operators share: tables in the shared folder, and lookups that stand hot keys."""
+"""What the training-data operators share: tables in the shared folder, lookups that stand hot keys, and keeping rows."""
 
 from __future__ import annotations
 
@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from maskwright.operators.shared import discard, materialize, shared_dir
 
-__all__ = ["HOT_SHARE", "discard", "lookup", "materialize", "shared_dir", "spread", "table"]
+__all__ = ["BROADCAST_ROWS", "HOT_SHARE", "discard", "fresh", "identity", "keep", "lookup", "materialize", "shared_dir", "spread", "table"]
 
 #: A key is hot when it has at least this share of the rows; so at most 1 / HOT_SHARE keys are.
 HOT_SHARE = 0.001
+#: Narrow rows, counted before, that are broadcast at most; more go through a shuffled join.
+BROADCAST_ROWS = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,17 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if len(docs.inputFiles()) == 1 else docs
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened by underscores until no column of ``docs`` is called so."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, count: str, spread: Column | str, how: str = "left") -> DataFrame:
     """``left`` joined with ``right`` on ``key`` (not null on the left), standing keys that hold a third of the rows.
 
@@ -37,15 +50,46 @@ def lookup(left: DataFrame, right: DataFrame, key: str, count: str, spread: Colu
     """
     total = right.agg(F.sum(count)).first()[0] or 0
     names = [c for c in right.columns if c != key]
+    hk, hot_, k, cold_ = fresh(left, "_hk", "_hot", "_k", "_cold")
     least = max(2, math.ceil(total * HOT_SHARE))  # so at most 1 / HOT_SHARE keys have as many
-    hot = right.where(F.col(count) >= least).select(F.col(key).alias("_hk"), F.struct(*names).alias("_hot"))
+    hot = right.where(F.col(count) >= least).select(F.col(key).alias(hk), F.struct(*names).alias(hot_))
     cold = right.where(F.col(count) < least).select(
-        F.struct(F.col(key).alias("k"), F.lit(0).alias("s")).alias("_k"), F.struct(*names).alias("_cold")
+        F.struct(F.col(key).alias("k"), F.lit(0).alias("s")).alias(k), F.struct(*names).alias(cold_)
     )
-    out = left.join(F.broadcast(hot), left[key] == F.col("_hk"), "left") if total >= 2 else left.withColumn("_hot", F.lit(None).cast(hot.schema["_hot"].dataType)).withColumn("_hk", F.lit(None))
-    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(1_000_000)).cast("int") + 1).otherwise(0)
-    out = out.withColumn("_k", F.struct(F.col(key).alias("k"), salt.alias("s"))).join(cold, "_k", "left")
-    found = F.coalesce("_hot", "_cold")
+    out = left.join(F.broadcast(hot), left[key] == F.col(hk), "left") if total >= 2 else left.withColumn(hot_, F.lit(None).cast(hot.schema[hot_].dataType)).withColumn(hk, F.lit(None))
+    salt = F.when(F.col(hot_).isNotNull(), F.pmod(F.xxhash64(spread), F.lit(1_000_000)).cast("int") + 1).otherwise(0)
+    out = out.withColumn(k, F.struct(F.col(key).alias("k"), salt.alias("s"))).join(cold, k, "left")
+    found = F.coalesce(hot_, cold_)
     if how == "inner":
         out = out.where(found.isNotNull())
     return out.select(*left.columns, *(found[c].alias(c) for c in names))
+
+
+def identity(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """What tells a document apart, never null: its id, and 128 bits of its text. Rows that repeat both are alike."""
+    return F.struct(
+        F.col(doc_id).isNull().alias("none"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("id"),
+        F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"),
+    )
+
+
+def keep(docs: DataFrame, report: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``report`` keeps.
+
+    ``report`` has a row for each row of ``docs``: ``identity`` and ``kept``. Of rows that repeat id and text one stays if
+    some of them are kept, all if all are. Only what goes is looked up, by a broadcast of BROADCAST_ROWS narrow rows at
+    most, else by a shuffled join that stands hot keys.
+    """
+    each = report.groupBy("identity").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("long")).alias("stay"))
+    marks = materialize(each.where("stay < n"), "marks")
+    key, n, stay = fresh(docs, "_identity", "_n", "_stay")
+    rows = docs.withColumn(key, identity())
+    marks = marks.select(F.col("identity").alias(key), F.col("n").alias(n), F.col("stay").alias(stay))
+    if marks.count() <= BROADCAST_ROWS:
+        found = rows.join(F.broadcast(marks), key, "left")
+    else:
+        found = lookup(rows, marks, key, n, F.monotonically_increasing_id())
+    out = found.where(F.col(stay).isNull()).select(*docs.columns)
+    if marks.where(F.col(stay) > 0).isEmpty():
+        return out
+    return out.unionByName(found.where(F.col(stay) > 0).dropDuplicates([key]).select(*docs.columns))

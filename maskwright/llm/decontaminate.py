@@ -10,7 +10,9 @@ blocks by item, each of which passes over all documents, and the blocks' hits ar
 
 Defined cases: a null text has no words. An item without words has no window; one with fewer than ``size`` is a single
 window. Items that repeat an item_id count once. An item without an id marks words but is not listed. Documents that
-repeat a doc_id are reported each. Extra columns are ignored. An empty benchmark leaves all documents clean.
+repeat a doc_id, or have none, are reported each, and each goes or stays by its own text. Texts of any length are taken
+whole; an empty table gives no rows. Extra columns, whatever their names, are ignored (``decontaminate`` hands them on).
+An empty benchmark leaves all documents clean.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import materialize
+from maskwright.llm.common import identity, keep, materialize
 
 #: Bytes of benchmark text that are broadcast at once.
 BLOCK_BYTES = 16_000_000
 #: ASCII capitals to lower case, ASCII that is neither letter nor digit to a space; other bytes of UTF-8 stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-FOUND = "row long, doc_id long, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
+IDENTITY = "struct<none:boolean,id:long,h1:long,h2:long>"
+FOUND = f"row long, identity {IDENTITY}, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -89,11 +92,20 @@ def search(doc: list[bytes], index: dict) -> tuple[list[tuple[int, int]], set]:
 
 def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row per document: doc_id, n_words, spans of hit words, and items (sorted ids, as strings) with windows in it."""
+    found = _find(docs, benchmark, size, block_bytes)
+    return found.select(F.when(~F.col("identity.none"), F.col("identity.id")).alias("doc_id"), "n_words", "spans", "items")
+
+
+def _find(docs: DataFrame, benchmark: DataFrame, size: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """identity, n_words, spans and items of each document."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("binary").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 if total <= block_bytes else 2 * -(-total // block_bytes)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), identity().alias("identity"), F.col("text").cast("binary").alias("text"))
+    if blocks > 1:  # passes over a table that was written once, so that rows have the same numbers in each
+        rows = materialize(rows, "numbered-texts")
+        docs = rows
     parts = []
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
@@ -115,7 +127,7 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int
                 span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(found, pa.list_(pa.string()))],
-                    names=["row", "doc_id", "n_words", "spans", "items"],
+                    names=["row", "identity", "n_words", "spans", "items"],
                 )
 
         parts.append(rows.mapInArrow(run, FOUND))
@@ -125,12 +137,12 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int
 
 
 def _merged(parts: list[DataFrame]) -> DataFrame:
-    """One row per document from those of each block. Row numbers come from the same scan in each."""
+    """One row per document from those of each block."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     out = out.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
+        F.first("identity").alias("identity"), F.first("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
@@ -138,7 +150,7 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
         if(size(a) > 0 and x.start <= element_at(a, -1).end,
            concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(x.end, element_at(a, -1).end)))),
            concat(a, array(x))))""")
-    return out.select("doc_id", "n_words", merged.alias("spans"), "items")
+    return out.select("identity", "n_words", merged.alias("spans"), "items")
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -151,10 +163,5 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """The rows of ``docs``, with all columns, that hold no window of the benchmark.
-
-    A doc_id is dropped if any row with it is contaminated; a contaminated row without an id drops rows without one.
-    """
-    found = find(docs, benchmark, size)
-    bad = materialize(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """The rows of ``docs``, with all columns, that hold no window of the benchmark."""
+    return keep(docs, _find(docs, benchmark, size).select("identity", (F.size("spans") == 0).alias("kept")))

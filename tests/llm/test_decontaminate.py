@@ -48,9 +48,18 @@ def test_against_brute_force(spark):
 def test_filter_and_empty_tables(spark):
     docs, bench = case()
     d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, "item_id long, text string")
-    bad = {r[0] for r in brute(docs, bench, 4) if r[5]}
+    bad = {(r[0], r[1], r[2]) for r in docs if brute([r], bench, 4)[0][5]}
     kept = D.decontaminate(d, b, 4)
     assert kept.columns == ["doc_id", "text", "row", "items"]
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((r[0] for r in docs if r[0] not in bad), key=str)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted((r[:2] for r in docs if r[:3] not in bad), key=str)
     assert D.report(D.find(d.limit(0), b)).count() == 0
     assert not any(r.contaminated for r in D.report(D.find(d, b.limit(0))).collect())
+
+
+def test_filter_keeps_all_columns(spark):
+    rows = [(None, "one two three four five"), (None, "clean"), (7, "clean"), (7, "x one two three four"), (8, None), (8, None)]
+    docs = spark.createDataFrame([(*r, 1, "a", "b") for r in rows], "doc_id long, text string, _id long, identity string, _n string")
+    bench = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
+    out = D.decontaminate(docs, bench, 4)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(None, "clean"), (7, "clean"), (8, None), (8, None)], key=str)
