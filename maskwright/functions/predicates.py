@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 CONTENT_KEYS = ["text", "content", "input", "prompt", "message", "msg", "body", "value"]
 CONTENT_PARENTS = ["messages", "contents", "parts", "prompts", "completion"]
 MIN_BODY, LAST_CANDIDATES = 8, 4
+# What a person's text is not, file names' endings, and kinds of content that are text.
+BARE_ID, BARE_HEX = r"^[A-Za-z0-9_\-./:]+$", r"(?i)^[0-9a-f-]{8,}$"
+DOCUMENT_ENDINGS = "docx|pptx|xlsx|pdf"
+TEXT_ENDINGS = (
+    "txt|text|csv|tsv|md|markdown|json|jsonl|ndjson|log|xml|htm|html|rtf|tex|srt|vtt|sql|yml|yaml|toml|ini|cfg|conf|sh|bash|ps1|"
+    "py|js|ts|jsx|tsx|c|h|cpp|cc|java|rb|go|rs|php|css|scss"
+)
+TEXT_KINDS = r"^(text/|application/(json|x-ndjson|xml|csv|x-yaml|yaml|sql|toml))"
 
 
 def _col(c: Column | str) -> Column:
@@ -18,7 +26,7 @@ def _col(c: Column | str) -> Column:
 def looks_like_prose(text: Column | str) -> Column:
     """12 characters or more, white space among them, and neither an identifier nor hexadecimal."""
     text = _col(text)
-    return (F.length(text) >= 12) & text.rlike(r"(?U)\s") & ~text.rlike(r"^[A-Za-z0-9_\-./:]+$") & ~text.rlike(r"(?i)^[0-9a-f-]{8,}$")
+    return (F.length(text) >= 12) & text.rlike(r"(?U)\s") & ~text.rlike(BARE_ID) & ~text.rlike(BARE_HEX)
 
 
 def is_content_path(path: Column | str) -> Column:
@@ -38,10 +46,17 @@ def is_blank(text: Column | str) -> Column:
     return _col(text).rlike(r"(?U)^\s*$")
 
 
-def upload_kind(name: Column | str) -> Column:
-    """document, text or other, by a file name's ending."""
-    name = F.lower(_col(name))
-    return F.when(name.rlike(r"\.(docx|pptx|xlsx|pdf)$"), "document").when(name.rlike(r"\.(txt|md|csv|tsv|json|jsonl|xml|html?|log|ya?ml)$"), "text").otherwise("other")
+def worth_reading(body: Column | str) -> Column:
+    """Whether a request's body is long enough to hold a person's text."""
+    return F.coalesce(F.length(_col(body)) >= MIN_BODY, F.lit(False))
+
+
+def upload_kind(name: Column | str, mime: Column | str | None = None) -> Column:
+    """document, text or other: by a file name's ending, else by the kind of its content."""
+    name = F.lower(F.coalesce(_col(name), F.lit("")))
+    kind = F.lower(F.coalesce(_col(mime), F.lit(""))) if mime is not None else F.lit("")
+    text = name.rlike(rf"\.({TEXT_ENDINGS})$") | kind.rlike(TEXT_KINDS)
+    return F.when(name.rlike(rf"\.({DOCUMENT_ENDINGS})$"), "document").when(text, "text").otherwise("other")
 
 
 def url_route(url: Column | str, routes: list[tuple[str, str, str]], method: Column | str) -> Column:

@@ -37,7 +37,7 @@ def key(seed: int, category: Column, real: Column, attempt: Column) -> Column:
 
 
 def surrogate(category: Column, real: Column, attempt: Column, seed: int = 0) -> Column:
-    """The surrogate of a value; each ``attempt`` gives another. Null for a category that isn't known."""
+    """The surrogate of a value; each ``attempt`` gives another. A category that isn't known gets one like a secret's."""
     k = key(seed, category, real, attempt)
     first, last = _pick(k, 0, FORENAMES), _pick(k, 1, SURNAMES)
     forms = {
@@ -45,12 +45,12 @@ def surrogate(category: Column, real: Column, attempt: Column, seed: int = 0) ->
         "private_email": F.concat(F.lower(first), F.lit("."), F.lower(last), _padded(draw(k, 2, 100), 2), F.lit("@"), _pick(k, 3, DOMAINS)),
         "private_phone": F.concat(F.lit("("), draw(k, 0, 800) + 200, F.lit(") "), draw(k, 1, 800) + 200, F.lit("-"), _padded(draw(k, 2, 10_000), 4)),
         "private_address": F.concat(draw(k, 0, 9899) + 1, F.lit(" "), _pick(k, 1, STREETS), F.lit(" "), _pick(k, 2, STREET_KINDS)),
-        "private_date": F.concat(draw(k, 0, 50) + 1970, F.lit("-"), _padded(draw(k, 1, 12) + 1, 2), F.lit("-"), _padded(draw(k, 2, 28) + 1, 2)),
-        "private_url": F.concat(F.lit("https://"), _pick(k, 0, DOMAINS), F.lit("/"), _pick(k, 1, URL_WORDS), F.lit("-"), _padded(draw(k, 2, 100), 2)),
+        "private_date": F.concat(draw(k, 0, 150) + 1900, F.lit("-"), _padded(draw(k, 1, 12) + 1, 2), F.lit("-"), _padded(draw(k, 2, 28) + 1, 2)),
+        "private_url": F.concat(F.lit("https://"), _pick(k, 0, DOMAINS), F.lit("/"), _pick(k, 1, URL_WORDS), F.lit("-"), _pick(k, 2, URL_WORDS), F.lit("-"), _padded(draw(k, 3, 100_000), 5)),
         "account_number": F.concat(_padded(draw(k, 0, 100_000), 5), _padded(draw(k, 1, 100_000), 5)),
         "secret": F.concat(F.lit("sk-fake-"), *[_pick(k, i, ALNUM) for i in range(16)]),
     }
-    out = F.lit(None).cast("string")
+    out = forms["secret"]
     for name, form in forms.items():
         out = F.when(category == name, form).otherwise(out)
     return out

@@ -1,7 +1,8 @@
 """Detection: the pattern pass, and a token model on what it leaves, behind one interface.
 
 A detector is a function of a frame (doc_id, text) to a frame (doc_id, spans). ``regex_detector`` needs no Python.
-``hybrid_detector`` masks what patterns find, so that a model sees less, and combines both.
+``hybrid_detector`` masks what patterns find, so that a model sees less, and combines both. Where a detector's result is
+joined to texts, these are first written with a number for each row, so missing or repeated ids lose nothing.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
-from maskwright.operators.decode import BATCH_ROWS, BATCH_TOKENS, OVERLAP, WINDOW, decode
+from maskwright.operators.decode import BATCH_ROWS, BATCH_TOKENS, BUCKETS, OVERLAP, WINDOW, decode, parse_labels
+from maskwright.operators.shared import fresh, materialize
 
 Detector = Callable[[DataFrame], DataFrame]
 
@@ -32,19 +34,28 @@ def hybrid_detector(model: Detector, min_score: float = 0.0) -> Detector:
     """Pattern pass, then ``model`` on the masked texts, both combined; ``min_score`` holds for the model's spans only."""
 
     def detect(docs: DataFrame) -> DataFrame:
-        first = docs.select("doc_id", "text", F.coalesce(S.regex_spans("text"), S.no_spans()).alias("regex"))
-        first = first.withColumn("masked", S.mask("text", "regex"))
-        found = model(first.select("doc_id", F.col("masked.text").alias("text"))).select("doc_id", F.col("spans").alias("model"))
-        both = first.join(found, "doc_id", "left")
+        row = F.monotonically_increasing_id()
+        first = docs.select("doc_id", "text", row.alias("row"), F.coalesce(S.regex_spans("text"), S.no_spans()).alias("regex"))
+        first = materialize(first.withColumn("masked", S.mask("text", "regex")), "masked")
+        found = model(first.select(F.col("row").alias("doc_id"), F.col("masked.text").alias("text"))).select(F.col("doc_id").alias("row"), F.col("spans").alias("model"))
+        both = first.join(found, "row", "left")
         theirs = S.at_least(F.coalesce("model", S.no_spans()), min_score)
-        return both.select("doc_id", S.combine("text", "regex", theirs, "masked.segments").alias("spans"))
+        return both.select("doc_id", F.coalesce(S.combine("text", "regex", theirs, "masked.segments"), S.no_spans()).alias("spans"))
 
     return detect
 
 
 def with_spans(docs: DataFrame, detector: Detector) -> DataFrame:
-    """``docs`` and their spans."""
-    return docs.join(detector(docs), "doc_id")
+    """``docs`` and their spans, each row with its own."""
+    row, found = fresh(docs, "_row", "_spans")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-texts")
+    spans = detector(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), F.col("spans").alias(found))
+    return rows.join(spans, row, "left").select(*docs.columns, F.coalesce(found, S.no_spans()).alias("spans"))
+
+
+def above(spans: DataFrame, min_score: float | None, serving: float) -> DataFrame:
+    """A request's spans: those with the score that it asks for, or else the server's, patterns' and model's alike."""
+    return spans.withColumn("spans", S.at_least("spans", serving if min_score is None else min_score))
 
 
 def tokenize(docs: DataFrame, encode: Callable[[], Callable[[str], list[tuple[int, int]]]]) -> DataFrame:
@@ -110,7 +121,7 @@ def score_windows(docs: DataFrame, encode: Callable, run_model: Callable[[], Cal
                     at, win = at + WINDOW - OVERLAP, win + 1
             todo.sort(key=lambda w: -len(w[3]))
             while todo:
-                size = len(todo[0][3])
+                size = next((n for n in BUCKETS if len(todo[0][3]) <= n), len(todo[0][3]))  # few shapes, so a model is planned seldom
                 many = max(1, min(BATCH_ROWS, BATCH_TOKENS // size))
                 now, todo = todo[:many], todo[many:]
                 ids = np.zeros((len(now), size), np.int64)
@@ -128,7 +139,7 @@ def onnx_model(path: str, threads: int = 2) -> Callable[[], Callable]:
     """A ``run_model`` for ``score_windows`` from an ONNX graph with input_ids, attention_mask and one output."""
 
     def make():
-        import onnxruntime
+        import onnxruntime  # the graph is read once a worker
 
         options = onnxruntime.SessionOptions()
         options.intra_op_num_threads = threads
@@ -141,3 +152,10 @@ def onnx_model(path: str, threads: int = 2) -> Callable[[], Callable]:
 def model_detector(encode: Callable, run_model: Callable, labels: list[str | None], min_score: float = 0.0) -> Detector:
     """Spans of a token model alone."""
     return lambda docs: decode(score_windows(docs, encode, run_model), docs, labels, min_score)
+
+
+def labels_of(config: str) -> list[str | None]:
+    """The categories of a model's label ids, from the text of its config.json."""
+    import json
+
+    return parse_labels(json.loads(config)["id2label"])

@@ -11,6 +11,7 @@ import io
 import re
 import zipfile
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -105,20 +106,23 @@ def layout(xml: str, tags: tuple[str, str] | None, start: int) -> tuple[list[str
     return out, "".join(text)
 
 
-def splice_node(text: str, start: int, placements: list[tuple[int, int, str]]) -> str:
-    """The node's text with placements put in; one that spans nodes appears in the node where it begins."""
-    data, out, at = text.encode(), [], start
-    end = start + len(data)
-    for a, b, surrogate in placements:
-        if b <= start or a >= end:
-            continue
-        if at < max(a, start):
-            out.append(data[at - start : max(a, start) - start].decode("utf-8", "ignore"))
-        if a >= start:
-            out.append(surrogate)
-        at = max(at, min(b, end))
-    if at < end:
-        out.append(data[at - start :].decode("utf-8", "ignore"))
+def replaced(text: str, start: int, placements: list[tuple[int, int, str]]) -> str:
+    """The text of a node that begins at byte ``start``, with what is placed there; ``placements`` are in order and apart.
+
+    The node is cut at every border of a placement. A piece that one covers goes, and where one begins its surrogate
+    comes; so one that spans several nodes shows in the node in which it begins.
+    """
+    data = text.encode()
+    stop = start + len(data)
+    here = placements[bisect_right(placements, start, key=lambda p: p[1]) : bisect_left(placements, stop, key=lambda p: p[0])]
+    begins: dict[int, str] = {}
+    for a, _, surrogate in here:
+        begins[a] = begins.get(a, "") + surrogate
+    covered = {x for a, b, _ in here if a < b for x in (max(a, start),)}
+    borders = sorted({start, stop, *(x for a, b, _ in here for x in (a, b) if start < x < stop)})
+    out = []
+    for a, b in zip(borders, borders[1:], strict=False):
+        out.append(begins.get(a, "") + ("" if a in covered else data[a - start : b - start].decode("utf-8", "ignore")))
     return "".join(out)
 
 
@@ -127,6 +131,12 @@ def scrub(xml: str) -> str:
     return re.sub(rf"(<({'|'.join(map(re.escape, BLANKED))})(?:\s[^>]*)?>)[^<]*(</\2>)", r"\1\3", xml)
 
 
+def scrubbed(data: bytes) -> bytes:
+    """The same for a part as it is stored: UTF-16 by its mark, else byte by byte, so that no encoding is an error."""
+    code = "utf-16" if data[:2] in (b"\xff\xfe", b"\xfe\xff") else "latin-1"
+    return scrub(data.decode(code, "replace")).encode(code)
+
+
 def kind_of(path: str) -> str:
     kind = path.rpartition(".")[2].lower()
     if kind not in MIME:
@@ -158,16 +168,16 @@ def rewrite_document(path: str, content: bytes, placements: list[tuple[int, int,
     """The document with placements put in and authors taken out; entries that hold no text are the same bytes."""
     kind = kind_of(path)
     if kind == "pdf":
-        return make_pdf(splice_node(pdf_text(content), 0, placements))
+        return make_pdf(replaced(pdf_text(content), 0, placements))
     _, laid = _plan(kind, content)
     out = io.BytesIO()
     with zipfile.ZipFile(io.BytesIO(content)) as z, zipfile.ZipFile(out, "w") as w:
         for item in z.infolist():
             data = z.read(item)
             if item.filename in laid:
-                data = "".join(p if isinstance(p, str) else p.xml(splice_node(p.text, p.start, placements)) for p in laid[item.filename]).encode()
+                data = "".join(p if isinstance(p, str) else p.xml(replaced(p.text, p.start, placements)) for p in laid[item.filename]).encode()
             elif item.filename in METADATA:
-                data = scrub(data.decode()).encode()
+                data = scrubbed(data)
             info = zipfile.ZipInfo(item.filename, item.date_time)
             info.compress_type = zipfile.ZIP_DEFLATED if item.filename in laid or item.filename in METADATA else item.compress_type
             info.external_attr = item.external_attr
@@ -223,20 +233,18 @@ def pdf_text(content: bytes) -> str:
 
 def wrap(text: str, width: int = LINE) -> list[str]:
     """Lines of at most ``width`` characters: runs of spaces shrink to one, long words are cut, blank lines stay."""
-    out: list[str] = []
-    for raw in text.split("\n"):
-        line = ""
-        for word in raw.rstrip("\r").split(" "):
-            while len(word) > width:
-                out += [line] if line else []
-                out.append(word[:width])
-                line, word = "", word[width:]
-            if line and word and len(line) + 1 + len(word) > width:
-                out.append(line)
-                line = ""
-            line += (" " if line and word else "") + word
-        out.append(line)
-    return out
+    lines: list[str] = []
+    for paragraph in text.split("\n"):
+        rows: list[list[str]] = [[]]
+        room = width
+        for word in paragraph.rstrip("\r").split(" "):
+            for piece in (word[i : i + width] for i in range(0, len(word), width)):
+                if rows[-1] and len(piece) >= room:
+                    rows.append([])
+                room = (room - 1 if rows[-1] else width) - len(piece)
+                rows[-1].append(piece)
+        lines += map(" ".join, rows)
+    return lines
 
 
 def pdf_escape(text: str) -> bytes:
@@ -287,20 +295,26 @@ def extract(docs: DataFrame) -> DataFrame:
 
 
 def rewrite(docs: DataFrame, placed: DataFrame) -> DataFrame:
-    """path, content, mime and n_placements of the rewritten documents; ``placed`` has path and placements."""
+    """path, content, mime, n_placements and error of the rewritten documents; ``placed`` has path and placements. One that
+    can't be rewritten has an error and no content."""
+    out = "path string, content binary, mime string, n_placements int, error string"
+
+    def one(r: dict) -> tuple:
+        try:
+            placements = sorted((p["start"], p["end"], p["surrogate"]) for p in r["placements"])
+            return r["path"], rewrite_document(r["path"], r["content"], placements), MIME[kind_of(r["path"])], len(placements), None
+        except Exception as e:
+            return r["path"], None, None, 0, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        types = (pa.string(), pa.binary(), pa.string(), pa.int32(), pa.string())
         for batch in batches:
-            rows = batch.to_pylist()
-            done = [rewrite_document(r["path"], r["content"], [(p["start"], p["end"], p["surrogate"]) for p in r["placements"]]) for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(done, pa.binary()), pa.array([MIME[kind_of(r["path"])] for r in rows]), pa.array([len(r["placements"]) for r in rows], pa.int32())],
-                names=["path", "content", "mime", "n_placements"],
-            )
-
-    return docs.select("path", "content").join(placed.select("path", "placements"), "path").mapInArrow(run, "path string, content binary, mime string, n_placements int")
+            done = [one(r) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [[]] * 5, types, strict=True)], names=[c.split()[0] for c in out.split(", ")])
+
+    return docs.select("path", "content").join(placed.select("path", "placements"), "path").mapInArrow(run, out)
 
 
 def anonymize_documents(docs: DataFrame, detector=None, seed: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -54,6 +54,13 @@ def report(docs: DataFrame, predicted: str = "spans", labels: str = "labels") ->
     return out.select(F.when(F.col("_all") == 1, F.lit("OVERALL")).otherwise(F.col("category")).alias("category"), "gold", "matched", "good", "fp", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
 
 
+def evaluate(docs: DataFrame, detector, labels: str = "labels") -> DataFrame:
+    """The report over the spans that ``detector`` finds in ``docs`` (text and labels)."""
+    from maskwright.operators.detect import with_spans
+
+    return report(with_spans(docs, detector), "spans", labels)
+
+
 def percent(value: Column) -> Column:
     return F.when(F.isnan(value), F.lit("  -  ")).otherwise(F.format_string("%.1f%%", value * 100))
 

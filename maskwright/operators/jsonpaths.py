@@ -105,3 +105,24 @@ def nested_string(column: str, outer: int, *inner: int):
     """A string within JSON that is itself a string within JSON: ``[outer]`` of one, then ``[inner]...`` of the other."""
     first = F.get_json_object(F.col(column), f"$[{outer}]")
     return F.get_json_object(first, "$" + "".join(f"[{i}]" for i in inner))
+
+
+def put_nested(column: str, value: str, outer: int, *inner: int):
+    """The JSON with that inner string replaced by the column ``value``; unchanged where it has none there."""
+
+    @F.pandas_udf("string")
+    def run(texts, values):
+        import pandas as pd
+
+        out = []
+        for text, new in zip(texts, values, strict=True):
+            whole = parse(text)
+            part = parse(whole[outer]) if isinstance(whole, list) and len(whole) > outer and isinstance(whole[outer], str) else None
+            if part is None or new is None or (tuple(map(int, inner)), True) not in {(p, isinstance(v, str)) for p, v in walk(part)}:
+                out.append(text)
+                continue
+            whole[outer] = json.dumps(put(part, list(inner), new), ensure_ascii=False, separators=(",", ":"))
+            out.append(json.dumps(whole, ensure_ascii=False, separators=(",", ":")))
+        return pd.Series(out, dtype=object)
+
+    return run(F.col(column), F.col(value))

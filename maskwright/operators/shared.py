@@ -1,13 +1,19 @@
-"""Tables in the folder that driver and executors share, and numbering of rows."""
+"""Tables in the folder that driver and executors share, numbering of rows, and lookups that stand hot and missing keys."""
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: A key is hot when it has at least this share of the rows; so at most 1 / HOT_SHARE keys are.
+HOT_SHARE = 0.001
+#: Narrow rows, counted before, that are broadcast at most; more go through a shuffled join.
+BROADCAST_ROWS = 400_000
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
@@ -57,3 +63,59 @@ def numbered(df: DataFrame, order: list[Column | str], name: str, start: int = 0
     offsets = counts.select("_part", before.alias("_before"))  # a row for each part of the sort
     out = part.join(F.broadcast(offsets), "_part")
     return out.withColumn(name, F.col("_before") + F.col("_row") + start).drop("_part", "_row", "_before")
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened by underscores until no column of ``docs`` is called so."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, count: str, spread: Column | str, how: str = "left") -> DataFrame:
+    """``left`` joined with ``right`` on ``key`` (not null on the left), standing keys that hold a third of the rows.
+
+    ``right`` is unique on ``key``; its column ``count`` says how many rows of ``left`` have the key. Keys with at
+    least HOT_SHARE of all those rows, of which there can only be 1 / HOT_SHARE, are broadcast; every other key goes
+    through an ordinary shuffled join, in which the rows of hot keys are dealt out by ``spread`` and match nothing.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    names = [c for c in right.columns if c != key]
+    hk, hot_, k, cold_ = fresh(left, "_hk", "_hot", "_k", "_cold")
+    least = max(2, math.ceil(total * HOT_SHARE))  # so at most 1 / HOT_SHARE keys have as many
+    hot = right.where(F.col(count) >= least).select(F.col(key).alias(hk), F.struct(*names).alias(hot_))
+    cold = right.where(F.col(count) < least).select(
+        F.struct(F.col(key).alias("k"), F.lit(0).alias("s")).alias(k), F.struct(*names).alias(cold_)
+    )
+    out = left.join(F.broadcast(hot), left[key] == F.col(hk), "left") if total >= 2 else left.withColumn(hot_, F.lit(None).cast(hot.schema[hot_].dataType)).withColumn(hk, F.lit(None))
+    salt = F.when(F.col(hot_).isNotNull(), F.pmod(F.xxhash64(spread), F.lit(1_000_000)).cast("int") + 1).otherwise(0)
+    out = out.withColumn(k, F.struct(F.col(key).alias("k"), salt.alias("s"))).join(cold, k, "left")
+    found = F.coalesce(hot_, cold_)
+    if how == "inner":
+        out = out.where(found.isNotNull())
+    return out.select(*left.columns, *(found[c].alias(c) for c in names))
+
+
+def row_identity(key: list[str], text: str) -> Column:
+    """What names a row by its key and its text, never null: a missing key is one like others, and rows that share a key
+    are told apart by 128 bits of their text. Rows that repeat both are alike."""
+    parts = [x for i, c in enumerate(key) for x in (F.col(c).isNull().alias(f"none{i}"), F.col(c).alias(f"key{i}"))]
+    return F.struct(*parts, F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+
+
+def joined_by(docs: DataFrame, found: DataFrame, key: list[str], text: str, id: str) -> DataFrame:
+    """``docs`` with the columns of ``found``, which is unique by ``id`` (a ``row_identity``); null where it has none.
+
+    Texts move only if ``found`` has more than BROADCAST_ROWS rows.
+    """
+    mine, theirs = fresh(docs, "_identity", "_found")
+    rest = [c for c in found.columns if c != id]
+    narrow = found.select(F.col(id).alias(mine), F.struct(*rest).alias(theirs))
+    if found.count() <= BROADCAST_ROWS:
+        narrow = F.broadcast(narrow)
+    out = docs.withColumn(mine, row_identity(key, text)).join(narrow, mine, "left")
+    return out.select(*docs.columns, *[F.col(theirs)[c].alias(c) for c in rest])

@@ -2,28 +2,34 @@
 
 A vault is a table (scope columns, seq, category, real, fake), unique by category and value and unique by surrogate,
 numbered in the order in which values first appear. Values are compared as they are.
+
+No text comes out with a value that was found in it: rows are told apart by key and text, so a missing or repeated key is
+no fault; a missing scope is a scope of its own; a category that isn't known gets a surrogate like a secret's.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
 from maskwright.functions.surrogates import surrogate
-from maskwright.operators.shared import materialize, numbered
+from maskwright.operators.shared import BROADCAST_ROWS, fresh, materialize, numbered, row_identity
 
 #: Surrogates tried for a value before its number is appended to one.
-ATTEMPTS = 4
+ATTEMPTS = 64
 
 
 def placed(docs: DataFrame, key: list[str], scope: list[str] | None = None, text: str = "text", spans: str = "spans") -> DataFrame:
-    """``key``, scope and kept: the spans that are replaced, of texts that have any, from a narrow table in the shared
-    folder; so texts are scanned once, however often it is read."""
+    """``key``, scope, _identity and kept: the spans that are replaced, of texts that have any, from a narrow table in
+    the shared folder; so texts are scanned once, however often it is read."""
     names = list(dict.fromkeys([*key, *(scope or [])]))
     # Written as they are found: a filter or a fold on spans in the same step would find them again for each use.
-    found = materialize(docs.select(*names, F.col(spans).alias("_spans"), F.octet_length(text).alias("_size")), "spans")
-    return found.where("size(_spans) > 0").select(*names, S.placeable("_spans", None, size=F.col("_size")).alias("kept"))
+    spans_ = F.coalesce(F.col(spans), S.no_spans()).cast(S.SPANS)
+    found = materialize(docs.select(*names, row_identity(key, text).alias("_identity"), spans_.alias("_spans"), F.octet_length(text).alias("_size")), "spans")
+    return found.where("size(_spans) > 0").select(*names, "_identity", S.placeable("_spans", None, size=F.col("_size")).alias("kept"))
 
 
 def values(placed: DataFrame, order: list[str], scope: list[str] | None = None) -> DataFrame:
@@ -41,13 +47,16 @@ def build(found: DataFrame, scope: list[str] | None = None, existing: DataFrame
     keys = [*scope, "category", "real"]
     new, start = found, 0
     if existing is not None:
-        new = found.join(existing.select(*keys), keys, "left_anti")
-        start = (existing.agg(F.max("seq")).first()[0] or -1) + 1 if not scope else 0
+        known = existing.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)])
+        new = found.join(known, _same(keys, [f"_k{i}" for i in range(len(keys))]), "left_anti")
+        last = None if scope else existing.agg(F.max("seq")).first()[0]
+        start = 0 if last is None else last + 1
     if scope:
         at = F.row_number().over(Window.partitionBy(*scope).orderBy("first", "category", "real")) - 1
         if existing is not None:
             last = existing.groupBy(*scope).agg((F.max("seq") + 1).alias("_next"))
-            new = new.join(last, scope, "left").withColumn("seq", at + F.coalesce("_next", F.lit(0)))
+            last = last.select("_next", *[F.col(c).alias(f"_s{i}") for i, c in enumerate(scope)])
+            new = new.join(last, _same(scope, [f"_s{i}" for i in range(len(scope))]), "left").withColumn("seq", at + F.coalesce("_next", F.lit(0)))
         else:
             new = new.withColumn("seq", at)
         new = new.withColumn("seq", F.col("seq").cast("long"))
@@ -58,6 +67,11 @@ def build(found: DataFrame, scope: list[str] | None = None, existing: DataFrame
     return minted if existing is None else existing.select(*columns).unionByName(minted)
 
 
+def _same(left: list[str], right: list[str]) -> Column:
+    """Equal columns, none being equal to none."""
+    return functools.reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)])
+
+
 def _mint(new: DataFrame, existing: DataFrame | None, scope: list[str], seed: int) -> DataFrame:
     """``new`` with surrogates that no two share: the first to come keeps one, the others try again."""
     names = [*scope, "fake"]
@@ -66,7 +80,9 @@ def _mint(new: DataFrame, existing: DataFrame | None, scope: list[str], seed: in
     for attempt in range(ATTEMPTS):
         tried = left.withColumn("fake", surrogate(F.col("category"), F.col("real"), F.lit(attempt), seed))
         if taken is not None:
-            tried = tried.join(taken.withColumn("_taken", F.lit(True)), names, "left")
+            theirs = [f"_t{i}" for i in range(len(names))]
+            used = taken.select(F.lit(True).alias("_taken"), *[F.col(c).alias(t) for c, t in zip(names, theirs, strict=True)])
+            tried = tried.join(used, _same(names, theirs), "left").drop(*theirs)
         else:
             tried = tried.withColumn("_taken", F.lit(None).cast("boolean"))
         first = F.row_number().over(Window.partitionBy(*names).orderBy("seq"))
@@ -96,15 +112,26 @@ def cap(vault: DataFrame, most: int, scope: list[str] | None = None) -> tuple[Da
 def anonymize(docs: DataFrame, placed: DataFrame, vault: DataFrame, key: list[str], scope: list[str] | None = None, text: str = "text") -> DataFrame:
     """``docs`` with anonymized (the text), placements, and subs: (real, fake) of each replaced span.
 
-    ``key`` names a row. Spans are joined with the vault without their texts; Spark picks the join by the vault's size
-    and splits a value that many share.
+    Spans are joined with the vault without their texts; Spark picks the join by the vault's size and splits a value that
+    many share. Texts move only where more than BROADCAST_ROWS of them have spans.
     """
     scope = scope or []
-    each = placed.select(*placed.columns[:-1], F.explode("kept").alias("s")).select("*", F.col("s.category").alias("category"), F.col("s.text").alias("real"))
-    each = each.join(vault.select(*scope, "category", "real", "fake"), [*scope, "category", "real"])
-    place = F.struct("s.start", "s.end", F.col("fake").alias("surrogate"), "real")
-    found = each.groupBy(*key).agg(F.array_sort(F.collect_list(place)).alias("_placed"))
-    out = docs.join(found, key, "left")
+    # Rows that repeat key and text are one here, with the spans of all of them.
+    one = placed.groupBy(*scope, "_identity").agg(F.array_distinct(F.flatten(F.collect_set("kept"))).alias("kept"))
+    each = one.select(*scope, "_identity", F.explode(S.placeable("kept", None, size=F.lit(2**31 - 1))).alias("s"))
+    names = [*scope, "category", "real"]
+    entries = vault.select("fake", *[F.col(c).alias(f"_v{i}") for i, c in enumerate(names)])
+    each = each.select(*scope, "_identity", "s", F.col("s.category").alias("category"), F.col("s.text").alias("real"))
+    each = each.join(entries, _same(names, [f"_v{i}" for i in range(len(names))]), "left")
+    # A value that the vault lacks, as after a cap, is taken out all the same.
+    place = F.struct("s.start", "s.end", F.coalesce("fake", F.concat(F.lit("["), F.upper("category"), F.lit("]")), F.lit("[]")).alias("surrogate"), "real")
+    scoped = [F.col(c).alias(f"_p{i}") for i, c in enumerate(scope)]
+    found = each.groupBy(*scope, "_identity").agg(F.array_sort(F.collect_list(place)).alias("_placed"))
+    found = materialize(found.select(F.struct("_identity", *scoped).alias("_row"), "_placed"), "placements")
+    identity = fresh(docs, "_row")[0]
+    out = docs.withColumn(identity, F.struct(row_identity(key, text).alias("_identity"), *[F.col(c).alias(f"_p{i}") for i, c in enumerate(scope)]))
+    narrow = found.select(F.col("_row").alias(identity), "_placed")
+    out = out.join(F.broadcast(narrow) if found.count() <= BROADCAST_ROWS else narrow, identity, "left").drop(identity)
     put = F.coalesce("_placed", F.array().cast("array<struct<start:int,end:int,surrogate:string,real:string>>"))
     return out.select(
         *docs.columns, S.splice(text, put, lambda p: p["surrogate"]).alias("anonymized"),

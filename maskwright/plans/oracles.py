@@ -36,8 +36,8 @@ def surrogate(category: str, real: str) -> str:
     forms = {
         "private_email": f"lower({pick(0, T.FORENAMES)}) || '.' || lower({pick(1, T.SURNAMES)}) || {pad(draw(2, 100), 2)} || '@' || {pick(3, T.DOMAINS)}",
         "private_phone": f"'(' || ({draw(0, 800)} + 200) || ') ' || ({draw(1, 800)} + 200) || '-' || {pad(draw(2, 10000), 4)}",
-        "private_date": f"({draw(0, 50)} + 1970) || '-' || {pad(f'({draw(1, 12)} + 1)', 2)} || '-' || {pad(f'({draw(2, 28)} + 1)', 2)}",
-        "private_url": f"'https://' || {pick(0, T.DOMAINS)} || '/' || {pick(1, T.URL_WORDS)} || '-' || {pad(draw(2, 100), 2)}",
+        "private_date": f"({draw(0, 150)} + 1900) || '-' || {pad(f'({draw(1, 12)} + 1)', 2)} || '-' || {pad(f'({draw(2, 28)} + 1)', 2)}",
+        "private_url": f"'https://' || {pick(0, T.DOMAINS)} || '/' || {pick(1, T.URL_WORDS)} || '-' || {pick(2, T.URL_WORDS)} || '-' || {pad(draw(3, 100000), 5)}",
         "account_number": f"{pad(draw(0, 100000), 5)} || {pad(draw(1, 100000), 5)}",
         "secret": "'sk-fake-' || " + " || ".join(pick(i, T.ALNUM) for i in range(16)),
     }

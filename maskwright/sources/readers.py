@@ -1,19 +1,20 @@
 """Sources of records (id, text, raw): lines, JSON lines, tab-separated columns, trees of files, custom delimiters; and
 labelled corpora and vaults.
 
-Ids are line numbers from 0, as strings. Lines are read in splits and numbered by a range sort over file and place, so
-no task sees a whole file. A line that isn't UTF-8 is left out before lines are numbered.
+Ids are line numbers from 0, as strings. Lines are read in splits; each split's lines are counted first, and a line's
+number is its place in its split plus the lines of the splits before, so numbering moves no text. A line that isn't UTF-8
+is left out before lines are numbered; ``skipped`` counts what a reading leaves out.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions.patterns import CATEGORIES
-from maskwright.operators.shared import numbered
+from maskwright.operators.shared import BROADCAST_ROWS, materialize
 
 RECORD = "id string, text string, raw string"
 BOM = "﻿"
@@ -29,15 +30,38 @@ def resolve_format(path: str | None, explicit: str | None = None, is_dir: bool =
     return {".jsonl": "jsonl", ".ndjson": "jsonl", ".tsv": "tsv"}.get(ending, "lines")
 
 
+def _split_lines(spark: SparkSession, path: str, sep: str = "\n") -> DataFrame:
+    """value, the split it was read in (path and start), and m, which counts the rows of a task."""
+    rows = spark.read.option("lineSep", sep).text(path).where(F.is_valid_utf8("value"))
+    return rows.select("value", F.col("_metadata.file_path").alias("p0"), F.col("_metadata.file_block_start").alias("p1"), F.monotonically_increasing_id().alias("m"))
+
+
 def _numbered_lines(spark: SparkSession, path: str, sep: str = "\n") -> DataFrame:
     """n and value of each line; a mark of byte order is taken off the first."""
-    rows = spark.read.option("lineSep", sep).text(path).where(F.is_valid_utf8("value"))
-    place = ["_metadata.file_path", "_metadata.file_block_start"]
-    rows = rows.select("value", *[F.col(p).alias(f"p{i}") for i, p in enumerate(place)], F.monotonically_increasing_id().alias("m"))
-    rows = numbered(rows, ["p0", "p1", "m"], "n").select("n", "value")
+    rows = _split_lines(spark, path, sep)
+    # A row for each split, so one task may sum them up. A task reads a split's lines one after the other.
+    splits = rows.groupBy("p0", "p1").agg(F.count(F.lit(1)).alias("lines"), F.min("m").alias("first"))
+    before = F.coalesce(F.sum("lines").over(Window.orderBy("p0", "p1").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = materialize(splits.select("p0", "p1", (before - F.col("first")).alias("shift")), "splits")
+    known = F.broadcast(splits) if splits.count() <= BROADCAST_ROWS else splits
+    rows = rows.join(known, ["p0", "p1"]).select((F.col("m") + F.col("shift")).alias("n"), "value")
     return rows.withColumn("value", F.when(F.col("n") == 0, F.regexp_replace("value", "^\\ufeff", "")).otherwise(F.col("value")))
 
 
+def skipped(spark: SparkSession, path: str, kind: str | None = None, is_dir: bool = False) -> DataFrame:
+    """reason and n of the records that ``read`` leaves out: not_utf8, and of JSON lines blank and not_json."""
+    kind = resolve_format(path, kind, is_dir)
+    if kind == "files":
+        raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    else:
+        raw = spark.read.text(path)
+    valid, value = F.is_valid_utf8("value"), _bare()
+    reason = F.when(~valid, "not_utf8")
+    if kind == "jsonl":
+        reason = reason.when(F.trim(value) == "", "blank").when(F.try_parse_json(value).isNull(), "not_json")
+    return raw.select(reason.alias("reason")).where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _record(rows: DataFrame, text: Column, raw: Column | None = None) -> DataFrame:
     return rows.select(F.col("n").cast("string").alias("id"), text.alias("text"), (raw if raw is not None else F.lit(None).cast("string")).alias("raw"))
 
@@ -163,3 +187,20 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     """path and content of each office document or PDF of a tree."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return rows.where(F.lower("path").rlike(r"\.(docx|pptx|xlsx|pdf)$")).select("path", "content")
+
+
+def base64_text(column: Column | str) -> Column:
+    """The text in base64, with U+FFFD for what isn't UTF-8; null for what isn't base64."""
+    column = F.col(column) if isinstance(column, str) else column
+    return F.make_valid_utf8(F.try_to_binary(column, F.lit("base64")).cast("string"))
+
+
+def entity_spans(raw: DataFrame, categories: dict[str, str]) -> DataFrame:
+    """text and labels (byte offsets) of rows of annotated texts: full_text, and spans with start_position, end_position,
+    entity_value and entity_type, counted in characters. A type that ``categories`` lacks is a label without a category;
+    a span whose value isn't what the text has there is left out."""
+    known = F.create_map(*[F.lit(x) for kv in categories.items() for x in kv]) if categories else F.create_map().cast("map<string,string>")
+    right = F.filter("spans", lambda s: F.substr(F.col("full_text"), s["start_position"] + 1, s["end_position"] - s["start_position"]) == s["entity_value"])
+    at = lambda n: char_to_byte(F.col("full_text"), n).cast("int")
+    labels = F.transform(right, lambda s: F.struct(F.try_element_at(known, s["entity_type"]).alias("category"), at(s["start_position"]).alias("start"), at(s["end_position"]).alias("end")))
+    return raw.select(F.col("full_text").alias("text"), labels.alias("labels"))

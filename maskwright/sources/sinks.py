@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -101,7 +102,10 @@ def summary(docs: DataFrame, vault: DataFrame) -> DataFrame:
 
 
 def save_vault(vault: DataFrame, path: str) -> None:
-    """Store a vault: a new table under another name, then a manifest that points to it, renamed into place."""
+    """Store a vault: a new table under another name, then a manifest with the next number, renamed into place.
+
+    Nothing that is there is touched, so whoever reads meanwhile, or after a crash, gets the vault before or this one.
+    """
     spark = vault.sparkSession
     part = f"part-{uuid.uuid4().hex[:12]}"
     vault.write.parquet(f"{path}/{part}")
@@ -111,25 +115,37 @@ def save_vault(vault: DataFrame, path: str) -> None:
     out = fs.create(temporary)
     out.write(bytearray(data))
     out.close()
-    fs.delete(jpath(f"{path}/manifest.json"), False)
-    fs.rename(temporary, jpath(f"{path}/manifest.json"))
+    for number in range(max(_manifests(fs, jpath, path), default=0) + 1, 2**31):
+        target = jpath(f"{path}/manifest-{number:09}.json")
+        if not fs.exists(target) and fs.rename(temporary, target):
+            return
+
+
+def _manifests(fs, jpath, path: str) -> list[int]:
+    if not fs.exists(jpath(path)):
+        return []
+    names = [str(f.getPath().getName()) for f in fs.listStatus(jpath(path))]
+    return [int(m[1]) for n in names if (m := re.fullmatch(r"manifest-(\d+)\.json", n))]
 
 
 def load_vault(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored vault; none if there isn't one. One that can't be read is set aside, as ``.corrupt``, and refused."""
+    """The vault stored last; none if there isn't one. One whose manifest isn't a vault's is set aside, as ``.corrupt``,
+    and refused; a store that can't be read now is an error that changes nothing."""
     fs, jpath = _fs(spark, path)
-    if not fs.exists(jpath(f"{path}/manifest.json")):
+    held = _manifests(fs, jpath, path)
+    if not held:
         return None
+    text = spark.read.text(f"{path}/manifest-{max(held):09}.json", wholetext=True).first()
     try:
-        text = spark.read.text(f"{path}/manifest.json", wholetext=True).first()[0]
-        manifest = json.loads(text)
+        manifest = json.loads(text[0] if text else "")
         if manifest.get("format") != MAGIC or manifest.get("version") != VERSION:
             raise ValueError("the vault's format or version is not known")
-        return spark.read.parquet(f"{path}/{manifest['data']}")
-    except Exception as e:
+        part = manifest["data"]
+    except (ValueError, KeyError, AttributeError) as e:
         aside = f"{path}.corrupt-{uuid.uuid4().hex[:8]}"
         fs.rename(jpath(path), jpath(aside))
         raise ValueError(f"the vault can't be read and is now in {aside}") from e
+    return spark.read.parquet(f"{path}/{part}")
 
 
 def _fs(spark: SparkSession, path: str):

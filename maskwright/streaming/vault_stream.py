@@ -2,7 +2,9 @@
 
 A vault's commands are dealt by vault_id and answered in the order of their arrival, with the vault as keyed state that
 a checkpoint brings back. One micro-batch's change to a vault is kept as a whole or not at all. Spark's own rate limits
-hold back a source, so nothing is dropped; a mistaken command gets an answer and changes nothing.
+hold back a source, so nothing is dropped; a mistaken command gets an answer and changes nothing. A span that lies outside
+of its text, cuts a character or begins within the one before it is left out. A vault without commands for as long as
+``idle`` says is forgotten.
 """
 
 from __future__ import annotations
@@ -38,9 +40,9 @@ def mint(category: str, real: str, attempt: int, seed: int = 0) -> str:
     if category == "private_address":
         return f"{draw(0, 9899) + 1} {pick(1, T.STREETS)} {pick(2, T.STREET_KINDS)}"
     if category == "private_date":
-        return f"{draw(0, 50) + 1970}-{draw(1, 12) + 1:02}-{draw(2, 28) + 1:02}"
+        return f"{draw(0, 150) + 1900}-{draw(1, 12) + 1:02}-{draw(2, 28) + 1:02}"
     if category == "private_url":
-        return f"https://{pick(0, T.DOMAINS)}/{pick(1, T.URL_WORDS)}-{draw(2, 100):02}"
+        return f"https://{pick(0, T.DOMAINS)}/{pick(1, T.URL_WORDS)}-{pick(2, T.URL_WORDS)}-{draw(3, 100_000):05}"
     if category == "account_number":
         return f"{draw(0, 100_000):05}{draw(1, 100_000):05}"
     return "sk-fake-" + "".join(pick(i, T.ALNUM) for i in range(16))
@@ -61,28 +63,38 @@ def longest_first(text: str, pairs: list[tuple[str, str]]) -> tuple[str, int]:
 
 
 class Vault:
-    """A vault's entries [category, real, fake] in order, and the last text that can be taken back."""
+    """A vault's entries [category, real, fake] in order, found by value and by surrogate, and the last text that can be
+    taken back."""
 
     def __init__(self, stored: str | None, cap: int, seed: int):
         held = json.loads(stored) if stored else {}
-        self.entries, self.undo = held.get("entries", []), held.get("undo")
-        self.cap, self.seed = cap, seed
+        self.undo, self.cap, self.seed = held.get("undo"), cap, seed
+        self.fakes = {(c, r): f for c, r, f in held.get("entries", [])}  # in order
+        self.taken = set(self.fakes.values())
+
+    @property
+    def entries(self) -> list[list[str]]:
+        return [[c, r, f] for (c, r), f in self.fakes.items()]
 
     def stored(self) -> str:
         return json.dumps({"entries": self.entries, "undo": self.undo})
 
     def surrogate(self, category: str, real: str) -> str:
-        for c, r, fake in self.entries:
-            if c == category and r == real:
-                return fake
-        taken = {e[2] for e in self.entries}
-        fake = next((f for a in range(64) if (f := mint(category, real, a, self.seed)) not in taken), None)
+        if (category, real) in self.fakes:
+            return self.fakes[category, real]
+        fake = next((f for a in range(64) if (f := mint(category, real, a, self.seed)) not in self.taken), None)
         n = 0
-        while fake is None or fake in taken:
+        while fake is None or fake in self.taken:
             fake, n = f"{mint(category, real, 0, self.seed)}-{n:02}", n + 1
-        self.entries.append([category, real, fake])
+        self.fakes[category, real] = fake
+        self.taken.add(fake)
         return fake
 
+    def forget(self, many: int) -> None:
+        """Without the oldest entries."""
+        for key in list(self.fakes)[:many]:
+            self.taken.discard(self.fakes.pop(key))
+
     def answer(self, op: str, text: str | None, at: float, spans) -> tuple[str, str | None, int, str | None, int]:
         """outcome, text, count, subs and how many entries the cap or clearing removed."""
         blank = not (text or "").strip()
@@ -92,7 +104,7 @@ class Vault:
             data, out, pos, subs, found = text.encode(), [], 0, [], 0
             for s in sorted(spans if spans is not None else (), key=lambda s: s["start"]):
                 found += 1
-                if s["start"] < pos or s["end"] > len(data) or s["start"] > s["end"]:
+                if not pos <= s["start"] <= s["end"] <= len(data) or any(data[i : i + 1] and data[i] & 0xC0 == 0x80 for i in (s["start"], s["end"])):
                     continue
                 fake = self.surrogate(s["category"], s["text"])
                 out += [data[pos : s["start"]].decode(), fake]
@@ -100,8 +112,8 @@ class Vault:
                 subs.append([fake, s["text"]])
             if not subs:
                 return "no_pii", text, 0, None, 0
-            removed = max(0, len(self.entries) - self.cap) if self.cap else 0
-            self.entries = self.entries[removed:]
+            removed = max(0, len(self.fakes) - self.cap) if self.cap else 0
+            self.forget(removed)
             new = "".join(out) + data[pos:].decode()
             self.undo = {"previous": text, "expected": new, "at": at}
             return "anonymized", new, found, json.dumps(subs, ensure_ascii=False), removed
@@ -124,17 +136,24 @@ class Vault:
             previous, self.undo = self.undo["previous"], None
             return "undone", previous, 0, None, 0
         if op == "clear":
-            removed, self.entries, self.undo = len(self.entries), [], None
+            removed, self.undo = len(self.fakes), None
+            self.forget(removed)
             return "cleared", None, 0, None, removed
         if op == "snapshot":
             return "snapshot", None, len(self.entries), json.dumps([[f, r] for _, r, f in self.entries], ensure_ascii=False), 0
         return "unknown", text, 0, None, 0
 
 
-def vault_commands(commands: DataFrame, cap: int = 0, seed: int = 0) -> DataFrame:
-    """Answers to a stream (or table) of COMMANDS; ``spans`` come from the pattern pass or a detector before."""
+def vault_commands(commands: DataFrame, cap: int = 0, seed: int = 0, idle: str | None = None) -> DataFrame:
+    """Answers to a stream (or table) of COMMANDS; ``spans`` come from the pattern pass or a detector before.
+
+    ``idle``, such as ``7 days``, is after how much time without commands a vault's state is dropped; by default never.
+    """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         vault = Vault(state.get[0] if state.exists else None, cap, seed)
         rows = pd.concat(list(parts)).sort_values(["at", "req_id"], kind="stable")
         out = []
@@ -142,9 +161,12 @@ def vault_commands(commands: DataFrame, cap: int = 0, seed: int = 0) -> DataFram
             spans = [x if isinstance(x, dict) else x.asDict() for x in (r.spans if r.spans is not None else ())]
             out.append((key[0], r.req_id, r.op, *vault.answer(r.op, r.text, r.at, spans)))
         state.update((vault.stored(),))
+        if idle:
+            state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in ANSWERS.split(", ")])
 
-    return commands.groupBy("vault_id").applyInPandasWithState(run, ANSWERS, "stored string", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return commands.groupBy("vault_id").applyInPandasWithState(run, ANSWERS, "stored string", "append", timeout)
 
 
 def split_safely(text: str, fakes: list[str]) -> int:

@@ -2,6 +2,7 @@ import io
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from maskwright.operators import documents as D
 
@@ -60,8 +61,8 @@ def test_anonymized_documents(spark):
         ("héllo", 10, [(14, 30, "X")], "hélX"), ("héllo", 10, [(10, 11, "A"), (13, 14, "B")], "AéBlo"), ("héll", 10, [(15, 16, "X")], "héll"),
     ],
 )
-def test_splice_node(text, start, placements, want):
-    assert D.splice_node(text, start, placements) == want
+def test_placements_of_a_node(text, start, placements, want):
+    assert D.replaced(text, start, placements) == want
 
 
 def test_wrap_and_pdf():
@@ -75,3 +76,17 @@ def test_wrap_and_pdf():
 
     packed = zlib.compress(b"BT [(Hel) -20 (lo)] TJ 0 -14 Td <776f> Tj (rl\\144\\)) ' ET")
     assert D.pdf_text(b"%PDF-1.4\n1 0 obj\n<< /Filter /FlateDecode /Length 9 >>\nstream\n" + packed + b"\nendstream") == "Hello\nwo\nrld)"
+
+
+def test_metadata_in_any_encoding():
+    assert D.scrubbed(b"<p><dc:creator>J\xf6rg</dc:creator>\xff</p>") == b"<p><dc:creator></dc:creator>\xff</p>"
+    wide = "<p><dc:creator>me</dc:creator></p>".encode("utf-16")
+    assert D.scrubbed(wide).decode("utf-16") == "<p><dc:creator></dc:creator></p>"
+
+
+def test_one_bad_document_fails_alone(spark):
+    docs = spark.createDataFrame([("a.docx", b"no zip"), ("b.pdf", D.make_pdf("x"))], "path string, content binary")
+    placed = docs.select("path", F.array().cast("array<struct<start:int,end:int,surrogate:string>>").alias("placements"))
+    got = {r.path: r for r in D.rewrite(docs, placed).collect()}
+    assert got["a.docx"].content is None and "BadZipFile" in got["a.docx"].error
+    assert got["b.pdf"].error is None and D.pdf_text(got["b.pdf"].content) == "x"

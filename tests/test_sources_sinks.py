@@ -102,8 +102,11 @@ def test_stored_vault(spark, tmp_path):
     K.save_vault(vault, path)
     K.save_vault(vault.union(vault), path)
     assert K.load_vault(spark, path).count() == 2
-    (tmp_path / "store/.manifest.json.crc").unlink(missing_ok=True)
-    (tmp_path / "store/manifest.json").write_text('{"format": "other"}')
+    assert sorted(x.name for x in (tmp_path / "store").glob("manifest*")) == ["manifest-000000001.json", "manifest-000000002.json"]
+    # A writer that died before its manifest leaves the vault as it was.
+    vault.write.parquet(f"{path}/part-unfinished")
+    assert K.load_vault(spark, path).count() == 2
+    (tmp_path / "store/manifest-000000003.json").write_text('{"format": "other"}')
     with pytest.raises(ValueError, match="corrupt"):
         K.load_vault(spark, path)
     assert K.load_vault(spark, path) is None

@@ -48,6 +48,28 @@ def test_long_runs_stay_linear(spark):
     assert [len(x) for x in found(spark, texts)] == [len(model(texts[0])), 1, *map(len, map(model, texts[2:]))]
 
 
+def test_time_grows_with_the_number_of_matches(spark):
+    import time
+
+    from maskwright.operators.restore import restored
+
+    def took(n):
+        text = "".join(f"write to u{i}@mail.example.com or fk{i % 9}x, " for i in range(n))
+        df = spark.createDataFrame([(text,)], "text string").withColumn("s", S.regex_spans("text"))
+        began = time.time()
+        df.select(F.length(S.redact("text", "s")), F.length(S.mask("text", "s")["text"]), F.size(S.merge_overlapping("s", "text")), F.length(restored(F.col("text"), [(f"fk{k}x", "r") for k in range(9)]))).collect()
+        return time.time() - began
+
+    took(400)
+    few, many = min(took(400) for _ in range(2)), took(6400)
+    assert many < 16 * 2 * max(few, 0.25)
+
+
+def test_many_spans_keep_their_order(spark):
+    text = " ".join(f"u{i}@mail.example.com" for i in range(300))
+    assert found(spark, [text]) == [model(text)]
+
+
 def test_trigger_lets_every_match_through(spark):
     df = spark.createDataFrame([(t,) for t in CASES], "t string").select("t", S.may_match(F.col("t")).alias("may")).collect()
     assert all(r.may for r in df if model(r.t)) and not all(r.may for r in df)

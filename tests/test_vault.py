@@ -10,7 +10,7 @@ from maskwright.operators import vault as V
 
 SHAPES = {
     "private_person": r"[A-Z][a-z]+ [A-Z][a-z]+", "private_email": r"[a-z]+\.[a-z]+\d\d@[a-z.]+", "private_phone": r"\([2-9]\d\d\) [2-9]\d\d-\d{4}",
-    "private_address": r"\d{1,4} [A-Z][a-z]+ [A-Z][a-z]+", "private_date": r"(19[7-9]|20[01])\d-(0\d|1[0-2])-[0-2]\d", "private_url": r"https://[a-z.]+/[a-z]+-\d\d",
+    "private_address": r"\d{1,4} [A-Z][a-z]+ [A-Z][a-z]+", "private_date": r"(19\d|20[0-4])\d-(0\d|1[0-2])-[0-2]\d", "private_url": r"https://[a-z.]+/[a-z]+-[a-z]+-\d{5}",
     "account_number": r"\d{10}", "secret": r"sk-fake-[a-z0-9]{16}",
 }
 
@@ -50,14 +50,15 @@ def test_scoped_vaults(spark, docs):
     assert out.count() == docs.count()
 
 
-def test_surrogates_are_unique_even_when_few_are_left(spark):
-    found = spark.range(40_000).select(F.lit("private_date").alias("category"), F.col("id").cast("string").alias("real"), F.struct("id").alias("first"))
+def test_surrogates_are_unique_even_when_few_are_left(spark, monkeypatch):
+    monkeypatch.setattr(V, "ATTEMPTS", 6)
+    found = spark.range(60_000).select(F.lit("private_date").alias("category"), F.col("id").cast("string").alias("real"), F.struct("id").alias("first"))
     vault = V.build(found)
-    assert vault.count() == 40_000 and vault.select("fake").distinct().count() == 40_000
-    more = spark.range(39_990, 40_010).select(F.lit("private_date").alias("category"), F.col("id").cast("string").alias("real"), F.struct("id").alias("first"))
+    assert vault.count() == 60_000 and vault.select("fake").distinct().count() == 60_000
+    more = spark.range(59_990, 60_010).select(F.lit("private_date").alias("category"), F.col("id").cast("string").alias("real"), F.struct("id").alias("first"))
     again = V.build(more, existing=vault)
-    assert again.count() == 40_010 and again.select("fake").distinct().count() == 40_010
-    assert again.agg(F.max("seq")).first()[0] == 40_009
+    assert again.count() == 60_010 and again.select("fake").distinct().count() == 60_010
+    assert again.agg(F.max("seq")).first()[0] == 60_009
 
 
 def test_cap(spark, docs):
@@ -98,3 +99,41 @@ def test_restore_in_blocks(spark):
     docs = spark.createDataFrame([(0, "f1x f11x é f49x ff3x")], "doc_id long, anonymized string")
     found = R.matches(docs, vault, ["doc_id"], "anonymized", block=7).first()._found
     assert [m.real for m in found] == ["real1", "real11", "real49", "real3"]
+
+
+def test_missing_and_repeated_keys_leak_nothing(spark):
+    rows = [(None, "write bob@corp.com", "a"), (None, "write bob@corp.com", "a"), (1, "a longer prefix mail zed@corp.com", "a"), (1, "mail zed@corp.com", None), (1, "none", "a"), (2, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, who string").withColumn("spans", S.regex_spans("text"))
+    for scope in (None, ["who"]):
+        out, vault = V.anonymize_corpus(docs, ["doc_id"], scope)
+        got = out.collect()
+        assert len(got) == len(rows) and not any("corp.com" in (r.anonymized or "") for r in got)
+        fake = {(r.real, r.who if scope else 0): r.fake for r in vault.collect()}
+        where = lambda r: r.who if scope else 0
+        for r in got:
+            want = r.text
+            for real in ("bob@corp.com", "zed@corp.com"):
+                want = want and want.replace(real, fake.get((real, where(r)), "?"))
+            assert r.anonymized == want
+        if not scope:
+            for small in (64, 0):
+                R.SMALL, before = small, R.SMALL
+                assert sorted((r.restored or "" for r in R.restore(out, vault, ["doc_id"]).collect())) == sorted(t or "" for _, t, _ in rows)
+                R.SMALL = before
+            assert sorted((r.n_entries for r in R.restore_plan(out, vault, ["doc_id"]).collect())) == [0, 0, 1, 1, 1, 1]
+            assert sorted((r.text or "") for r in R.without_surrogates(out, vault, ["doc_id"], "anonymized").collect()) == ["", "none"]
+
+
+def test_a_value_that_the_vault_lacks_is_taken_out(spark):
+    docs = spark.createDataFrame([(1, "mail bob@corp.com and amy@corp.com")], "doc_id long, text string").withColumn("spans", S.regex_spans("text"))
+    some = V.placed(docs, ["doc_id"])
+    vault = V.build(V.values(some, ["doc_id"])).where("seq = 1")
+    out = V.anonymize(docs, some, vault, ["doc_id"]).first()
+    assert out.anonymized == f"mail [PRIVATE_EMAIL] and {vault.first().fake}"
+
+
+def test_resuming_a_vault_of_one_entry(spark):
+    value = lambda *names: spark.createDataFrame([("secret", n, (i,)) for i, n in enumerate(names)], "category string, real string, first struct<id:int>")
+    one = V.build(value("a"))
+    both = V.build(value("a", "b"), existing=one)
+    assert sorted((r.seq, r.real) for r in both.collect()) == [(0, "a"), (1, "b")]
