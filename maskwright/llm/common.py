@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.operators.shared import discard, materialize, shared_dir
+from maskwright.operators.shared import BROADCAST_ROWS, HOT_SHARE, discard, fresh, lookup, materialize, shared_dir
 
 __all__ = ["BROADCAST_ROWS", "HOT_SHARE", "discard", "fresh", "identity", "keep", "lookup", "materialize", "shared_dir", "spread", "table"]
 
-#: A key is hot when it has at least this share of the rows; so at most 1 / HOT_SHARE keys are.
-HOT_SHARE = 0.001
-#: Narrow rows, counted before, that are broadcast at most; more go through a shuffled join.
-BROADCAST_ROWS = 400_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables in ``sf_dir``; the path may be in any store that Spark reads."""
@@ -30,41 +23,6 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if len(docs.inputFiles()) == 1 else docs
 
 
-def fresh(docs: DataFrame, *names: str) -> list[str]:
-    """``names``, each lengthened by underscores until no column of ``docs`` is called so."""
-    taken, out = {c.lower() for c in docs.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
-def lookup(left: DataFrame, right: DataFrame, key: str, count: str, spread: Column | str, how: str = "left") -> DataFrame:
-    """``left`` joined with ``right`` on ``key`` (not null on the left), standing keys that hold a third of the rows.
-
-    ``right`` is unique on ``key``; its column ``count`` says how many rows of ``left`` have the key. Keys with at
-    least HOT_SHARE of all those rows, of which there can only be 1 / HOT_SHARE, are broadcast; every other key goes
-    through an ordinary shuffled join, in which the rows of hot keys are dealt out by ``spread`` and match nothing.
-    """
-    total = right.agg(F.sum(count)).first()[0] or 0
-    names = [c for c in right.columns if c != key]
-    hk, hot_, k, cold_ = fresh(left, "_hk", "_hot", "_k", "_cold")
-    least = max(2, math.ceil(total * HOT_SHARE))  # so at most 1 / HOT_SHARE keys have as many
-    hot = right.where(F.col(count) >= least).select(F.col(key).alias(hk), F.struct(*names).alias(hot_))
-    cold = right.where(F.col(count) < least).select(
-        F.struct(F.col(key).alias("k"), F.lit(0).alias("s")).alias(k), F.struct(*names).alias(cold_)
-    )
-    out = left.join(F.broadcast(hot), left[key] == F.col(hk), "left") if total >= 2 else left.withColumn(hot_, F.lit(None).cast(hot.schema[hot_].dataType)).withColumn(hk, F.lit(None))
-    salt = F.when(F.col(hot_).isNotNull(), F.pmod(F.xxhash64(spread), F.lit(1_000_000)).cast("int") + 1).otherwise(0)
-    out = out.withColumn(k, F.struct(F.col(key).alias("k"), salt.alias("s"))).join(cold, k, "left")
-    found = F.coalesce(hot_, cold_)
-    if how == "inner":
-        out = out.where(found.isNotNull())
-    return out.select(*left.columns, *(found[c].alias(c) for c in names))
-
-
 def identity(doc_id: str = "doc_id", text: str = "text") -> Column:
     """What tells a document apart, never null: its id, and 128 bits of its text. Rows that repeat both are alike."""
     return F.struct(

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import discard, identity, keep, lookup, materialize
+from maskwright.llm.common import BROADCAST_ROWS, discard, identity, keep, lookup, materialize
 from maskwright.llm.components import components
 from maskwright.llm.decontaminate import words
 
@@ -341,7 +341,10 @@ def _texts(docs: DataFrame, candidates: DataFrame, classes: DataFrame) -> DataFr
     wanted = classes.join(candidates.select("rep").distinct(), "rep", "left_semi")
     wanted = materialize(wanted.select(F.struct("identity.h1", "identity.h2").alias("hash"), "rep", "digest", "n_copies"), "wanted-texts")
     rows = docs.select(F.struct(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")).alias("hash"), F.col("text").cast("binary").alias("text"))
-    found = lookup(rows, wanted, "hash", "n_copies", F.monotonically_increasing_id(), how="inner")
+    if wanted.count() <= BROADCAST_ROWS:
+        found = rows.join(F.broadcast(wanted), "hash")
+    else:
+        found = lookup(rows, wanted, "hash", "n_copies", F.monotonically_increasing_id(), how="inner")
     return materialize(found.groupBy("rep", "digest").agg(F.first("text").alias("text")), "class-texts")
 
 
