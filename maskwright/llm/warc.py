@@ -1,19 +1,25 @@
 """WARC archives, written in deterministic shards and read back.
 
-Records are ordered by page_id. The range of ids is cut into at most CELLS equal cells, whose payload bytes are summed;
-neighbouring cells make up shards of about ``shard_bytes``, the same for the same table whatever the partitions. One
-shuffle brings a shard's rows into a task in order. The task writes gzip members with headers and digests made anew,
-begins another file when ``file_bytes`` compressed bytes are reached, writes each under a temporary name and renames it
-when it is whole. A file counts once a manifest row names it, and manifest rows are committed by Spark: a lost or
-repeated task leaves files of the same names and bytes, or none that a reader looks at.
-
-Records with equal payloads: that with the largest page_id is the response, the others are revisits that refer to it.
-Which rows repeat a payload is found from digests alone. Those decisions travel through the same shuffle as rows of
-their own, just before the page they concern, so payloads are shuffled once and digests are never joined back to them.
+Records are ordered by page_id, then payload digest, then the response before its revisits, then url. A narrow table of
+digests, urls and sizes decides everything: which record is the response, and by a range sort with running sums of bytes
+where each shard begins, so shards hold about ``shard_bytes`` of records whatever the ids are, and the same for the same
+table whatever the partitions. A shard may begin within an id, and within the revisits of a payload. Revisits are made
+from the narrow table alone; of the payloads only those of responses travel, once, to their shard, which they find by the
+first response of each shard. A task writes its shard as gzip members with headers and digests made anew, begins another
+file when ``file_bytes`` compressed bytes are reached, writes each under a temporary name and renames it when it is
+whole. A file counts once a manifest row names it, and manifest rows are committed by Spark: a lost or repeated task
+leaves files of the same names and bytes, or none that a reader looks at.
+
+By default a shard is 1 / SHARDS of all bytes, but within SHARD_BYTES, and a file an eighth of it, so that a shard rolls
+over several files at any size; 100 TB make shards of 8 GB in files of up to 1 GB.
+
+Records with equal payloads: one with the largest page_id is the response, the others are revisits that refer to it.
+Payloads that many rows of one page_id share are reduced to one in each task before they travel.
 
 Defined cases: a null html is the empty payload; a null url becomes ``urn:page:<page_id>``; rows without a page_id
 come first and are never referred to unless all rows of the payload lack one. Rows that repeat page_id and payload: one
-is the response, the others refer to the same id. An empty table gives no files. Extra columns are ignored.
+is the response, the others refer to the same id. A payload of any length is one record, alone in its shard where it is
+larger than one. An empty table gives no files. Extra columns, whatever their names, are ignored.
 
 Archives are written through pyarrow's file systems (local or mounted folders, HDFS, S3, GCS), so the folder must be
 one that these can open.
@@ -27,12 +33,18 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
-from maskwright.llm.common import lookup, materialize, shared_dir
+from maskwright.llm.common import HOT_SHARE, discard, lookup, materialize, shared_dir
 
-CELLS = 1 << 16
+#: How many shards a table makes, and the least and greatest bytes of records in one.
+SHARDS, SHARD_BYTES = 1024, (16_000_000, 8_000_000_000)
+#: Files that a shard would make if its records didn't shrink.
+FILES = 8
+#: Bytes of a record besides its payload, about.
+HEAD = 600
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, shard int, records long, bytes long, sha256 string"
 RECORD = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
@@ -53,18 +65,21 @@ def member(fields: list[tuple[str, str]], block: bytes, level: int) -> bytes:
     return out.compress(head.encode() + block + b"\r\n\r\n") + out.flush()
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str, level: int) -> bytes:
-    digest = base32_sha1(payload)
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if revisit else http + payload
+def page_record(page_id: int | None, url: str | None, payload: bytes | None, sha1: str, size: int, refers_to: int | None, date: str, level: int) -> bytes:
+    """A page's record: a response with its payload, or without one a revisit; ``sha1`` (hex) and ``size`` are the payload's."""
+    digest = base64.b32encode(bytes.fromhex(sha1)).decode()
+    if payload is not None and hashlib.sha1(payload).hexdigest() != sha1:
+        raise ValueError(f"page {page_id}: the payload isn't the one that was counted")
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    block = http if payload is None else http + payload
     url = "".join(url.split()) if url else f"urn:page:{page_id}"
     fields = [
-        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id, digest)),
+        ("WARC-Type", "revisit" if payload is None else "response"), ("WARC-Record-ID", record_id(page_id, digest)),
         ("WARC-Date", date), ("WARC-Target-URI", url), ("Content-Type", "application/http;msgtype=response"),
         ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"), ("WARC-Payload-Digest", f"sha1:{digest}"),
-        ("X-Payload-Length", str(len(payload))), ("X-Page-Id", "" if page_id is None else str(page_id)),
+        ("X-Payload-Length", str(size)), ("X-Page-Id", "" if page_id is None else str(page_id)),
     ]
-    if revisit:
+    if payload is None:
         fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page-Id", "" if refers_to is None else str(refers_to))]
     return member(fields, block, level)
 
@@ -104,67 +119,119 @@ class Shard:
             self.out = None
 
 
-def shards(sizes: DataFrame, shard_bytes: int) -> tuple[int, dict[int, int]]:
-    """How far an id is shifted to give its cell, and each cell's shard; at most CELLS of them."""
-    low, high = sizes.agg(F.min("page_id"), F.max("page_id")).first()
-    shift = 0
-    while low is not None and (high >> shift) - (low >> shift) >= CELLS:
-        shift += 1
-    cells = sizes.where("page_id IS NOT NULL").groupBy(F.shiftright("page_id", shift).alias("cell")).agg(F.sum("payload_bytes").alias("n"))
-    out, shard, held = {}, 0, 0
-    for cell, n in sorted(map(tuple, cells.collect())):
-        if held and held + n > shard_bytes:
-            shard, held = shard + 1, 0
-        out[cell] = shard
-        held += n + 512
-    return shift, out
+def _key(page_id: Column, digest: Column) -> Column:
+    """29 bytes that are ordered as (page_id, digest), rows without a page_id first."""
+    high = F.unhex(F.lpad(F.hex(page_id.bitwiseXOR(F.lit(-(2**63)))), 16, "0"))
+    return F.concat(F.when(page_id.isNull(), F.lit(b"\x00" * 9)).otherwise(F.concat(F.lit(b"\x01"), high)), digest)
+
+
+def _roles(pages: DataFrame, revisit_min_bytes: int) -> DataFrame:
+    """A narrow row for each record, written once: key, kind (0 response, 1 revisit), url, page_id, refers_to, bytes."""
+    digest = F.unhex(F.sha1("payload"))
+    narrow = pages.select("page_id", "url", digest.alias("digest"), F.octet_length("payload").cast("long").alias("bytes"), F.monotonically_increasing_id().alias("row"))
+    narrow = materialize(narrow, "payload-digests")
+    # The largest page_id first; of its rows that with the first url.
+    top = F.min(F.struct(F.col("page_id").isNull().alias("none"), F.bitwise_not("page_id").alias("down"), "url", "row")).alias("top")
+    same = narrow.where(F.col("bytes") >= revisit_min_bytes).groupBy("digest").agg(top, F.count(F.lit(1)).alias("n"))
+    same = materialize(same.where("n > 1").select("digest", "n", F.bitwise_not("top.down").alias("refers_to"), F.col("top.row").alias("first")), "payload-groups")
+    rows = lookup(narrow, same, "digest", "n", "row")
+    revisit = F.coalesce(F.col("first") != F.col("row"), F.lit(False))
+    out = rows.select(
+        _key(F.col("page_id"), F.col("digest")).alias("key"), revisit.cast("int").alias("kind"), "url", "row", "page_id", "digest",
+        F.when(revisit, F.col("refers_to")).alias("refers_to"), "bytes",
+    )
+    return materialize(out, "records")
+
 
+def _placed(records: DataFrame, shard_bytes: int | None, file_bytes: int | None) -> tuple[DataFrame, int, int]:
+    """``records`` with their shard, written once; the number of shards, and the bytes of a file."""
+    weight = F.lit(HEAD) + F.when(F.col("kind") == 0, F.col("bytes")).otherwise(0)
+    total = records.agg(F.sum(weight)).first()[0] or 0
+    shard_bytes = shard_bytes or min(max(-(-total // SHARDS), SHARD_BYTES[0]), SHARD_BYTES[1])
+
+    def summed(batches: Iterator) -> Iterator:
+        """What a part of the sort has before each of its rows."""
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
 
-def write(pages: DataFrame, folder: str, shard_bytes: int = 48_000_000, file_bytes: int = 1 << 30, revisit_min_bytes: int = 0, date: str = "2020-01-01T00:00:00Z", level: int = 6) -> DataFrame:
+        part, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            upto = np.cumsum(batch.column("weight").to_numpy(zero_copy_only=False)) + total
+            total = int(upto[-1]) if len(upto) else total
+            columns = [*batch.columns, pa.array(np.full(batch.num_rows, part), pa.int32()), pa.array(upto, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "part", "upto"])
+
+    weighed = records.withColumn("weight", weight.cast("long"))
+    sorted_ = weighed.orderBy("key", "kind", "url", "row").mapInArrow(summed, StructType([*weighed.schema]).add("part", IntegerType()).add("upto", LongType()))
+    sorted_ = materialize(sorted_, "sorted-records")
+    sums = sorted_.groupBy("part").agg(F.max("upto").alias("sum"))
+    before = F.coalesce(F.sum("sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select("part", before.alias("before"))  # a row for each part of the sort
+    at = F.col("upto") - F.col("weight") + F.col("before")
+    placed = sorted_.join(F.broadcast(starts), "part").withColumn("shard", F.floor(at / shard_bytes).cast("int")).drop("part", "weight", "upto", "before")
+    placed = materialize(placed, "placed-records")
+    discard(sorted_)
+    return placed, (placed.agg(F.max("shard")).first()[0] or 0) + 1, file_bytes or max(-(-shard_bytes // FILES), 1_000_000)
+
+
+def _payloads(pages: DataFrame, records: DataFrame, placed: DataFrame) -> DataFrame:
+    """shard, key, kind -1 and payload: what a shard's responses hold. Others that come along are passed over there."""
+    cuts = placed.where("kind = 0").groupBy("shard").agg(F.min("key").alias("key")).collect()  # a row for each shard
+    first = sorted((bytes(r["key"]), r["shard"]) for r in cuts)
+    shared = pages.sparkSession.sparkContext.broadcast(first)
+
+    @F.pandas_udf("int")
+    def shard_of(key):
+        import bisect
+
+        import pandas as pd
+
+        keys = [k for k, _ in shared.value]
+        return pd.Series([shared.value[max(bisect.bisect_right(keys, bytes(k)) - 1, 0)][1] for k in key], dtype="int32")
+
+    rows = pages.select(_key(F.col("page_id"), F.unhex(F.sha1("payload"))).alias("key"), "payload")
+    # Payloads that at least HOT_SHARE of all rows have, of which there are 1 / HOT_SHARE at most: one comes from a task.
+    often = records.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("kind") == 0, F.col("key"))).alias("response"), F.sum(1 - F.col("kind")).alias("responses"))
+    least = max(2, int(records.count() * HOT_SHARE))
+    hot = materialize(often.where((F.col("n") >= least) & (F.col("responses") == 1)).select("digest", "response"), "hot-payloads")
+    rows = rows.withColumn("digest", F.substring("key", 10, 20)).join(F.broadcast(hot), "digest", "left")
+    cold = rows.where("response IS NULL").select("key", "payload")
+    once = rows.where("key = response").groupBy("key").agg(F.first("payload").alias("payload"))
+    out = cold.unionByName(once)
+    return out.withColumn("shard", shard_of("key"))
+
+
+def write(pages: DataFrame, folder: str, shard_bytes: int | None = None, file_bytes: int | None = None, revisit_min_bytes: int = 0, date: str = "2020-01-01T00:00:00Z", level: int = 6) -> DataFrame:
     """Write the archives of ``pages`` (page_id, url, html) into ``folder``; the manifest: path, shard, records, bytes, sha256."""
     spark = pages.sparkSession
-    payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
-    digests = materialize(
-        rows.select("page_id", F.unhex(F.sha1("payload")).alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes")),
-        "payload-digests",
-    )
-    same = digests.where(F.col("payload_bytes") >= revisit_min_bytes).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
-    same = materialize(same.where("n > 1"), "payload-groups")
-    known = lookup(digests, same, "digest", "n", "page_id", how="inner")
-    decisions = known.groupBy("page_id", "digest", "refers_to").agg(F.lit(1).alias("kind"))
-
-    shift, by_cell = shards(digests, shard_bytes)
-    cells = spark.createDataFrame(list(by_cell.items()) or [(0, 0)], "cell long, shard int")
-    n = max(by_cell.values(), default=0) + 1
-    both = decisions.select("page_id", F.lit(0).alias("kind"), "digest", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
-    both = both.unionByName(rows.select("page_id", F.lit(1).alias("kind"), F.unhex(F.sha1("payload")).alias("digest"), F.lit(None).cast("long").alias("refers_to"), "url", "payload"))
-    both = both.join(F.broadcast(cells), F.shiftright("page_id", shift) == F.col("cell"), "left").drop("cell")  # CELLS at most
-    both = both.withColumn("shard", F.coalesce("shard", F.lit(0)))
-    both = both.repartitionByRange(n, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
+    records = _roles(pages, revisit_min_bytes)
+    placed, n, file_bytes = _placed(records, shard_bytes, file_bytes)
+    bare = placed.select("shard", "key", "kind", "url", "row", "page_id", F.lower(F.hex("digest")).alias("sha1"), "refers_to", "bytes", F.lit(None).cast("binary").alias("payload"))
+    full = _payloads(pages, records, placed).select("shard", "key", F.lit(-1).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(0).cast("long").alias("row"), F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("sha1"), F.lit(None).cast("long").alias("refers_to"), F.lit(0).cast("long").alias("bytes"), "payload")
+    both = bare.unionByName(full).repartitionByRange(n, "shard").sortWithinPartitions("shard", "key", "kind", "url", "row")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         shard: Shard | None = None
-        last = decision = done = None
+        held = payload = None
         done_files: list[tuple] = []
         for batch in batches:
             for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
                 for r in part.to_pylist():
+                    if r["kind"] < 0:
+                        held, payload = r["key"], r["payload"]
+                        continue
                     if shard is None or shard.number != r["shard"]:
                         if shard:
                             shard.close()
                             done_files += shard.files
                         shard = Shard(folder, r["shard"], file_bytes, date, level)
-                    key = (r["page_id"], r["digest"])
-                    if r["kind"] == 0:
-                        decision, last, done = r, key, False
-                        continue
-                    revisit = last == key and (done or decision["refers_to"] != r["page_id"])
-                    refers_to = decision["refers_to"] if revisit else None
-                    done = done or last == key
-                    shard.add(page_record(r["page_id"], r["url"], r["payload"], refers_to, revisit, date, level))
+                    if r["kind"] == 0 and held != r["key"]:
+                        raise ValueError(f"page {r['page_id']} has no payload: the table changed while it was read")
+                    shard.add(page_record(r["page_id"], r["url"], payload if r["kind"] == 0 else None, r["sha1"], r["bytes"], r["refers_to"], date, level))
         if shard:
             shard.close()
             done_files += shard.files
@@ -174,7 +241,9 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 48_000_000, file_byt
 
     _make(spark, folder)
     written = both.mapInArrow(run, MANIFEST)
-    return materialize(written.withColumn("path", F.concat(F.lit(_scheme(folder)), "path")), "warc-manifest")
+    manifest = materialize(written.withColumn("path", F.concat(F.lit(_scheme(folder)), "path")), "warc-manifest")
+    discard(records, placed)
+    return manifest
 
 
 def _make(spark, folder: str) -> None:

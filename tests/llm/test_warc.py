@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import pathlib
+import random
 
 from maskwright.llm import warc
 from maskwright.llm.common import shared_dir
@@ -64,3 +65,30 @@ def test_payloads_come_back(spark):
     for r in got:
         assert bytes(r.payload) == want[r.page_id, base64.b32decode(r.payload_digest)]
         assert r.page_id != 4 or r.url == "http://ab/4"
+
+
+def test_shards_are_even_and_files_roll_whatever_the_ids(spark):
+    rng = random.Random(4)
+    page = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    rows = [(i, "u", page(4000)) for i in range(200)]
+    rows += [(2**62, "far", page(4000)), (-(2**63), "low", page(4000))]  # outliers
+    rows += [(77, f"u{i}", page(4000)) for i in range(150)]  # one id in a third of the rows
+    rows += [(None, "n", page(4000)) for _ in range(100)]  # none
+    rows += [(5000 + i % 2, "same", "s" * 9000) for i in range(300)]  # a payload and few ids in many rows
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    folder = shared_dir(spark, "warc-test")
+    manifest = warc.write(pages, folder, shard_bytes=100_000, file_bytes=20_000)
+    by_shard = {}
+    for r in manifest.collect():
+        by_shard.setdefault(r.shard, []).append(r.bytes)
+    total = 452 * 4600 + 9600 + 299 * 600
+    assert abs(len(by_shard) - total / 100_000) <= 2
+    # Letters at random shrink to about half; revisits to less.
+    assert all(len(files) > 1 and max(files) <= 20_000 + 3_000 for n, files in by_shard.items() if n < max(by_shard) - 4)
+    assert max(map(sum, by_shard.values())) <= 1.2 * 100_000
+    got = sorted(map(tuple, warc.read(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str)
+    assert got == brute([(i, u, h) for i, u, h in rows])
+
+
+def test_sizes_follow_the_table():
+    assert warc.SHARD_BYTES[0] // warc.FILES < warc.SHARD_BYTES[0] and warc.SHARD_BYTES[1] // warc.FILES == 10**9
