@@ -2,16 +2,22 @@
 
 Two logistic classifiers see different sides of a document: its text (hashed words and shapes of words) and its
 metadata (source, language, length). Each is fitted on the labelled documents; over ROUNDS each then hands the other
-the unlabelled documents that it is surest of, once that sureness has been right on labelled documents kept apart, and
+unlabelled documents that it is sure of, once that sureness has been right on labelled documents kept apart, and
 both are fitted again. Views are calibrated on the documents kept apart, where a combination of the two is fitted too.
 
-A document is good if its label says quality 1 and not toxic. The fit uses at most about LABELLED labelled and POOL
-unlabelled documents, chosen by a hash of doc_id; with it come vectors of fixed size. Scoring covers every document.
+Every document's features are written once, as positions of 32 bits. In each round both views pass over the features
+of the whole corpus, and all documents of which they are sure are candidates; of those, HANDED of each kind, by a hash, are
+fitted. Only features of documents that are fitted reach the driver, never texts: LABELLED labelled ones, chosen by a hash of
+doc_id, and 4 x HANDED a round. Scoring covers every document.
 
-Defined cases: a null or empty text has no words and a shape of its own. A null in the metadata is a value of its own.
-Labels without quality are left out; toxic null counts as 0; of several labels for a doc_id the worst holds. Without
-labels of both kinds no document can be told apart: all get the share of good ones (1 without labels). Rows without a
-doc_id are scored. Repeated rows are scored each. Extra columns are ignored.
+A document is good if its label says quality 1 and not toxic.
+
+Defined cases: a null or empty text has no words and a shape of its own; texts of any length are read whole. A null in the
+metadata is a value of its own. Labels without quality are left out; toxic null counts as 0; of several labels for a
+doc_id the worst holds. Without labels of both kinds no document can be told apart: all get the share of good ones (1
+without labels). A score that equals the threshold is accepted. Rows without a doc_id are scored. Repeated rows are scored
+each, also where they repeat an id with another text. An empty table gives no rows. Extra columns, whatever their names,
+are ignored (``keep_good`` hands them on).
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from operator import eq
 
@@ -27,9 +33,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import spread
+from maskwright.llm.common import discard, identity, keep, materialize, spread
 
-LABELLED, POOL, ROUNDS, BATCH = 8000, 4000, 3, 0.1
+LABELLED, HANDED, ROUNDS = 8000, 800, 3
 #: Positions of the hashed features: of words, of the text view, whose shapes follow the words, and of the metadata view.
 WORD_BITS, TEXT_BITS, META_BITS = 18, 19, 14
 #: How often a view must have been right, on documents kept apart, where it is as sure as when it hands on a label.
@@ -47,6 +53,7 @@ SHARES = (0.0, 0.01, 0.03, 0.1, 0.3, 0.6)
 PRIOR = 20
 WORD = re.compile(r"[^\W\d_]+")
 FIELDS = ("source", "lang", "n_chars")
+FEATURES = "row long, identity struct<none:boolean,id:long,h1:long,h2:long>, text array<int>, meta array<int>"
 
 
 def _at(feature: str, bits: int) -> int:
@@ -60,7 +67,7 @@ def shape(token: str) -> str:
         k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if not out or out[-1] != k:
             out.append(k)
-    return "".join(out[:8])
+    return "".join(out)
 
 
 class Tokens(dict):
@@ -121,10 +128,11 @@ class View:
 
     def raw(self, x: list[np.ndarray]) -> np.ndarray:
         """Log odds before calibration."""
-        if not x:
-            return np.zeros(0)
-        at, row = _flat(x)
-        return np.bincount(row, self.weights[at], len(x)) + self.bias
+        return self.of(*_flat(x), len(x)) if x else np.zeros(0)
+
+    def of(self, at: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+        """The same for ``n`` documents, of features side by side and the document of each."""
+        return np.bincount(row, self.weights[at], n) + self.bias
 
     def fit(self, x: list[np.ndarray], y: np.ndarray, penalty: float, steps: int = 120) -> None:
         """Full-batch Adam."""
@@ -183,136 +191,201 @@ class CoTrained:
     share: float
     handed: list[tuple[int, int]] = field(default_factory=list)  # each round: labels from the text view, from the metadata view
 
-    def scores(self, text: list, meta: list) -> np.ndarray:
-        """text view, metadata view and both: the calibrated chance that a document is good."""
+    def scores(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
+        """text view, metadata view and both: the calibrated chance that a document is good, of both views' log odds."""
         if self.text is None:
             return np.full((len(text), 3), self.share)
-        a = self.text.raw(text) * self.text.line[0] + self.text.line[1]
-        b = self.meta.raw(meta) * self.meta.line[0] + self.meta.line[1]
+        a = text * self.text.line[0] + self.text.line[1]
+        b = meta * self.meta.line[0] + self.meta.line[1]
         return np.column_stack([_sigmoid(a), _sigmoid(b), _sigmoid(a * self.blend[0] + b * self.blend[1] + self.blend[2])])
 
 
-def _sure(raw: np.ndarray, held_raw: np.ndarray, held_y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pool's documents that a view is surest of, and their labels.
-
-    On either side the threshold is the mildest beyond which the view was right on the documents kept apart.
-    """
-    picked, labels = [], []
-    for good in (True, False):
-        sign = 1 if good else -1
-        order = np.argsort(-sign * held_raw)
-        right = np.cumsum(held_y[order] == good) / np.arange(1, len(order) + 1)
+def _limits(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Below and above which log odds a view is sure: the mildest beyond which it was right on the documents kept apart."""
+    out = []
+    for sign, good in ((-1, False), (1, True)):
+        order = np.argsort(-sign * raw)
+        right = np.cumsum(y[order] == good) / np.arange(1, len(order) + 1)
         ok = np.flatnonzero((right >= SURE) & (np.arange(1, len(order) + 1) >= 20))
-        if not len(ok) or (held_y == good).mean() >= SURE:
-            continue
-        least = sign * held_raw[order[ok[-1]]]
-        pool = np.flatnonzero(sign * raw >= least)
-        pool = pool[np.argsort(-sign * raw[pool], kind="stable")][:most]
-        picked.append(pool)
-        labels.append(np.full(len(pool), float(good)))
-    if not picked:
-        return np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(picked), np.concatenate(labels)
-
-
-def co_train(labelled: list[tuple], pool: list[tuple], rounds: int = ROUNDS) -> CoTrained:
-    """Fit on rows (text, source, lang, n_chars, good) and (text, source, lang, n_chars); each fifth labelled row is kept apart."""
-    y = np.array([r[-1] for r in labelled], dtype=float)
+        out.append(sign * np.inf if not len(ok) or (y == good).mean() >= SURE else raw[order[ok[-1]]])
+    return float(out[0]), float(out[1])
+
+
+#: What a view may hand on: for each view, of a turn, the views and their limits, rows (key, text features, metadata
+#: features, label).
+Pool = Callable[[int, tuple[View, View], list[tuple[float, float]]], list[list[tuple]]]
+
+
+def co_train(text: list[np.ndarray], meta: list[np.ndarray], good: list[float], pool: Pool | None = None, rounds: int = ROUNDS) -> CoTrained:
+    """Fit on the features of labelled documents, of which each fifth is kept apart, and on what the views take from ``pool``."""
+    y, xs = np.array(good, dtype=float), [text, meta]
     share = float(y.mean()) if len(y) else 1.0
-    if len(y) < 40 or min(y.sum(), len(y) - y.sum()) < 8:
+    if len(set(good)) < 2:
         return CoTrained(None, None, (0.0, 0.0, 0.0), share)
-    tokens = Tokens()
-    xs = [[text_features(r[0], tokens) for r in labelled], [meta_features(*r[1:4]) for r in labelled]]
-    us = [[text_features(r[0], tokens) for r in pool], [meta_features(*r[1:4]) for r in pool]]
     held = np.arange(len(y)) % 5 == 4
-    train = np.flatnonzero(~held)
+    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:  # too few to keep any apart
+        held = np.ones(len(y), bool)
+        train = np.arange(len(y))
+    else:
+        train = np.flatnonzero(~held)
+    apart = np.flatnonzero(held)
     views = (View(TEXT_BITS, against=1 << WORD_BITS), View(META_BITS))
     penalties = (0.5, 4.0)
-    given: list[dict[int, float]] = [{}, {}]  # for each view, what the other has handed it
+    given: list[dict] = [{}, {}]  # for each view, what the other has handed it: features and label by key
     handed = []
     for turn in range(rounds + 1):
         for v, view in enumerate(views):
-            rows = [xs[v][i] for i in train] + [us[v][i] for i in given[v]]
-            view.fit(rows, np.array([*y[train], *given[v].values()]), penalties[v])
-        if turn == rounds or not pool:
+            rows = [xs[v][i] for i in train] + [x for x, _ in given[v].values()]
+            view.fit(rows, np.array([*y[train], *(label for _, label in given[v].values())]), penalties[v])
+        if turn == rounds or pool is None or len(apart) == len(y):
             break
+        limits = [_limits(view.raw([xs[v][i] for i in apart]), y[apart]) for v, view in enumerate(views)]
         count = []
-        for v, view in enumerate(views):
-            at, labels = _sure(view.raw(us[v]), view.raw([xs[v][i] for i in np.flatnonzero(held)]), y[held], int(BATCH * len(pool)))
-            new = [(int(i), float(label)) for i, label in zip(at, labels, strict=True) if int(i) not in given[1 - v]]
-            given[1 - v].update(new)
-            count.append(len(new))
+        for v, found in enumerate(pool(turn, views, limits)):
+            other, before = given[1 - v], len(given[1 - v])
+            for key, *x, label in found:
+                other.setdefault(key, (x[1 - v], label))
+            count.append(len(other) - before)
         handed.append(tuple(count))
         if not any(count):
             break
     z = []
     for v, view in enumerate(views):
-        raw = view.raw([xs[v][i] for i in np.flatnonzero(held)])
-        a, b = _logistic(raw[:, None], y[held])
+        raw = view.raw([xs[v][i] for i in apart])
+        a, b = _logistic(raw[:, None], y[apart])
         view.line = (max(float(a), 1e-3), float(b))
         z.append(raw * view.line[0] + view.line[1])
-    blend = tuple(float(x) for x in _logistic(np.column_stack(z), y[held]))
+    blend = tuple(float(x) for x in _logistic(np.column_stack(z), y[apart]))
     return CoTrained(*views, blend, share, handed)
 
 
-def _chosen(rows: DataFrame, n: int, most: int, salt: str) -> DataFrame:
-    """About ``most`` of the ``n`` rows by a hash of doc_id; all if there are no more."""
-    return rows if n <= most else rows.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(10**9)) < int(most / n * 1e9))
+def features(docs: DataFrame) -> DataFrame:
+    """The features of every document, written once."""
 
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> CoTrained:
-    good = F.min(((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).cast("int")).alias("good")
-    marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(good)
-    n_marks, n_docs = marks.count(), docs.count()
-    marks = _chosen(marks, n_marks, labelled, "labelled")
-    fields = [F.col(c) for c in ("text", *FIELDS)]
-    # At most about ``labelled`` rows, whatever the corpus, so they are broadcast.
-    known = docs.select("doc_id", *fields).join(F.broadcast(marks), "doc_id")
-    rest = _chosen(docs.where("doc_id IS NOT NULL").select("doc_id", *fields), n_docs, pool, "pool")
-    rest = rest.join(F.broadcast(marks.select("doc_id")), "doc_id", "left_anti")
-    in_order = lambda rows: [tuple(r)[1:] for r in sorted(rows, key=lambda r: (r["doc_id"], *map(str, r)))]
-    return co_train(in_order(known.collect()), in_order(rest.collect()), rounds)  # bounded by the parameters
+        tokens = Tokens()
+        for batch in batches:
+            text, *meta = (c.to_pylist() for c in batch.columns[2:])
+            x = [text_features(t, tokens) for t in text]
+            m = [meta_features(*r) for r in zip(*meta, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(x), _lists(m)], names=["row", "identity", "text", "meta"])
+
+    rows = spread(docs).select(F.monotonically_increasing_id().alias("row"), identity().alias("identity"), "text", *FIELDS)
+    return materialize(rows.mapInArrow(run, FEATURES), "quality-features")
+
+
+def _lists(x: list[np.ndarray]):
+    import pyarrow as pa
+
+    ends = np.cumsum([0, *map(len, x)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x) if x else np.zeros(0, np.int32), pa.int32()))
+
+
+def _raws(batch, views: tuple[View, View]) -> list[np.ndarray]:
+    """Both views' log odds of a batch of features."""
+    out = []
+    for name, view in zip(("text", "meta"), views, strict=True):
+        column = batch.column(name)
+        sizes = np.diff(column.offsets.to_numpy())
+        out.append(view.of(column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes), len(sizes)))
+    return out
+
+
+def _in_memory(rows: list) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    return [np.array(r["text"], np.int32) for r in rows], [np.array(r["meta"], np.int32) for r in rows]
+
+
+def _pool(rest: DataFrame, handed: int) -> Pool:
+    """Over all of ``rest``, features of unlabelled documents."""
+    spark = rest.sparkSession
+
+    def take(turn: int, views: tuple[View, View], limits: list[tuple[float, float]]) -> list[list[tuple]]:
+        shared = spark.sparkContext.broadcast((views, limits))
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            views, limits = shared.value
+            for batch in batches:
+                sides = [np.where(raw >= high, 1, np.where(raw <= low, 0, -1)) for raw, (low, high) in zip(_raws(batch, views), limits, strict=True)]
+                some = (sides[0] >= 0) | (sides[1] >= 0)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row").filter(pa.array(some)), batch.column("tag").filter(pa.array(some)), *(pa.array(s[some], pa.int32()) for s in sides)], names=["row", "tag", "side0", "side1"]
+                )
+
+        sure = rest.withColumn("tag", F.xxhash64("identity.id", "identity.h1", F.lit(turn))).select("row", "tag", "text", "meta").mapInArrow(run, "row long, tag long, side0 int, side1 int")
+        sure = materialize(sure, "sure-documents")
+        chosen = [(v, side, sure.where(f"side{v} = {side}").orderBy("tag", "row").limit(handed)) for v in (0, 1) for side in (0, 1)]
+        picked: dict[int, list[tuple[int, int]]] = {}
+        for v, side, rows in chosen:
+            for r in rows.select("row").collect():  # ``handed`` at most
+                picked.setdefault(r["row"], []).append((v, side))
+        discard(sure)
+        out: list[list[tuple]] = [[], []]
+        if picked:
+            ids = F.broadcast(spark.createDataFrame([(r,) for r in picked], "row long"))  # 4 x ``handed`` at most
+            found = sorted(rest.join(ids, "row").select("row", "text", "meta").collect(), key=lambda r: r["row"])
+            for r, text, meta in zip(found, *_in_memory(found), strict=True):
+                for v, side in picked[r["row"]]:
+                    out[v].append((r["row"], text, meta, float(side)))
+        shared.unpersist()
+        return out
 
+    return take
 
-def score(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, text_score, meta_score, score and accepted for each row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = "doc_id long, text_score double, meta_score double, score double, accepted boolean"
+
+def fit(x: DataFrame, labels: DataFrame, labelled: int = LABELLED, handed: int = HANDED, rounds: int = ROUNDS) -> CoTrained:
+    """Both views, of ``features`` of the whole corpus and ``labels`` (doc_id, quality, toxic) of some."""
+    good = F.min(((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).cast("int")).alias("good")
+    marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(good)
+    marks = materialize(marks, "quality-labels")
+    share = F.pmod(F.xxhash64("id", F.lit("labelled")), F.lit(10**9)) < int(min(1.0, labelled / max(marks.count(), 1)) * 1e9)
+    marks = F.broadcast(marks.where(share))  # about ``labelled``, whatever the corpus
+    named = x.withColumn("id", F.when(~F.col("identity.none"), F.col("identity.id")))
+    known = named.join(marks, "id")
+    n = known.count()
+    if n > 2 * labelled:  # ids that many rows share
+        known = known.where(F.pmod(F.xxhash64("row"), F.lit(10**9)) < int(labelled / n * 1e9))
+    rows = sorted(known.select("id", "text", "meta", "good").collect(), key=lambda r: (r["id"], r["text"], r["meta"]))
+    text, meta = _in_memory(rows)
+    rest = named.join(marks.select("id"), "id", "left_anti")
+    return co_train(text, meta, [float(r["good"]) for r in rows], _pool(rest, handed) if handed else None, rounds)
+
+
+def _scored(x: DataFrame, model: CoTrained, threshold: float) -> DataFrame:
+    shared = x.sparkSession.sparkContext.broadcast(model)
+    out = "identity struct<none:boolean,id:long,h1:long,h2:long>, text_score double, meta_score double, score double, accepted boolean"
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        tokens = Tokens()
+        model = shared.value
         for batch in batches:
-            doc_id, text, *meta = (c.to_pylist() for c in batch.columns)
-            s = shared.value.scores([text_features(t, tokens) for t in text], [meta_features(*m) for m in zip(*meta, strict=True)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_id, pa.int64()), *(pa.array(s[:, i]) for i in range(3)), pa.array(s[:, 2] >= threshold)],
-                names=[c.split()[0] for c in out.split(", ")],
-            )
+            raws = _raws(batch, (model.text, model.meta)) if model.text else [np.zeros(batch.num_rows)] * 2
+            s = model.scores(*raws)
+            yield pa.RecordBatch.from_arrays([batch.column("identity"), *(pa.array(s[:, i]) for i in range(3)), pa.array(s[:, 2] >= threshold)], names=[c.split()[0] for c in out.replace("struct<none:boolean,id:long,h1:long,h2:long>", "s").split(", ")])
 
-    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *FIELDS)).mapInArrow(run, out)
+    return x.select("identity", "text", "meta").mapInArrow(run, out)
 
 
-def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, fit(docs, labels))
+def score(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, text_score, meta_score, score and accepted for each row of ``docs``."""
+    return _named(_scored(features(docs), model, threshold))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all columns, that the classifier accepts."""
-    model = fit(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema, names = docs.schema, docs.columns
-    at = [names.index(c) for c in ("text", *FIELDS)]
+def _named(scored: DataFrame) -> DataFrame:
+    return scored.select(F.when(~F.col("identity.none"), F.col("identity.id")).alias("doc_id"), "text_score", "meta_score", "score", "accepted")
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        import pyarrow.compute as pc
 
-        tokens = Tokens()
-        for batch in batches:
-            text, *meta = (batch.column(i).to_pylist() for i in at)
-            s = shared.value.scores([text_features(t, tokens) for t in text], [meta_features(*m) for m in zip(*meta, strict=True)])
-            yield batch.filter(pa.array(s[:, 2] >= threshold))
+def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The scores of all ``docs`` by a model that is fitted on those with labels."""
+    x = features(docs)
+    return _named(_scored(x, fit(x, labels), threshold))
+
 
-    return docs.mapInArrow(run, schema)
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all columns, that the classifier accepts."""
+    x = features(docs)
+    return keep(docs, _scored(x, fit(x, labels), threshold).select("identity", F.col("accepted").alias("kept")))
