@@ -1,20 +1,21 @@
 """Substring dedup by sliding sentence spans.
 
-Every sentence of every document begins a span: the shortest run of consecutive sentences from there with at least
-MIN_SENTENCES sentences and MIN_WORDS words; a sentence of LONG_WORDS words is a span by itself. Spans are hashed to
-128 bits and ordered over the whole corpus by doc_id and place; all sentences that any but the first of equal spans
-covers are removed.
+A span is a run of at least MIN_SENTENCES consecutive sentences with at least MIN_WORDS words. All sentences that any but
+the first of equal spans covers are removed, over the whole corpus, in order of doc_id and place. Of the spans only the
+shortest from each sentence on and the shortest up to each sentence are hashed, to 128 bits: whatever sentence a longer
+repeated span covers is in one of those within it, so the same sentences are removed as if every run were hashed.
 
 A task first compares the spans it holds itself, so of a span that a third of the corpus repeats each task passes on
-one; those meet by hash in one shuffle, and the places of repeated spans go back to their documents.
-
-With ``ends``, every sentence also ends a span, the shortest such run up to it, so that of a passage that is a span or
-more all sentences go, its last ones too.
-
-Defined cases: a character of a script that is written without spaces counts as a word. Sentences end after ``.``, ``!`` or ``?`` (and closing quotes or brackets) before white space, after
-their full-width forms, and at a line's end; white space within them doesn't count. A null text stays null, with no
-sentences. Too short a rest of a document begins no span. Rows that repeat both doc_id and text are one document and
-get the same result each. Rows without a doc_id come after all others. Extra columns are ignored.
+one; those meet by hash in one shuffle, and the places of repeated spans go back to their documents: by a broadcast where
+at most BROADCAST_ROWS documents have any, else by a shuffled join.
+
+Defined cases: a character of a script that is written without spaces counts as a word. Sentences end after ``.``, ``!``
+or ``?`` (and closing quotes or brackets) before white space, after their full-width forms, and at a line's end; white
+space within them doesn't count. A null text stays null, with no sentences; an empty one stays empty. A passage of one
+sentence, or of fewer words, is no span, so it stays. Texts of any length are read whole. Rows that repeat both doc_id
+and text are one document and get the same result each; rows that repeat an id with another text are ordered by a hash of
+it. Rows without a doc_id come after all others. An empty table gives no rows. Extra columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MIN_SENTENCES, MIN_WORDS, LONG_WORDS = 2, 20, 40
+from maskwright.llm.common import BROADCAST_ROWS, materialize
+
+#: Half of 50, as the first and last sentences of a passage of 50 words may run on into other text.
+MIN_SENTENCES, MIN_WORDS = 2, 25
 #: Spans that a task compares at once.
 HELD = 400_000
 END = re.compile(r"(?:[.!?…]+[\"')\]»”’]*(?=\s)|[。！？]+|\n)\s*")
@@ -54,42 +58,32 @@ def _sizes(text: str) -> tuple[list[int], list[bytes]]:
     return n, digests
 
 
-def end_spans(text: str, least: int = MIN_SENTENCES, words: int = MIN_WORDS, long: int = LONG_WORDS) -> list[tuple[int, int, bytes]]:
-    """As ``spans``, for the shortest run that ends with each sentence."""
-    from xxhash import xxh3_128_digest
-
-    n, digests = _sizes(text)
-    out = []
-    for j in range(1, len(n) + 1):
-        i, held = j, 0
-        while i > 0 and not (held >= words and j - i >= least) and not (j - i == 1 and held >= long):
-            i -= 1
-            held += n[i]
-        if held >= words and j - i >= least or j - i == 1 and held >= long:
-            out.append((i, j - i, xxh3_128_digest(b"".join(digests[i:j]))))
-    return out
-
-
-def spans(text: str, least: int = MIN_SENTENCES, words: int = MIN_WORDS, long: int = LONG_WORDS) -> list[tuple[int, int, bytes]]:
-    """(first sentence, number of sentences, digest) of each span."""
+def spans(text: str, least: int = MIN_SENTENCES, words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
+    """(first sentence, number of sentences, digest) of the shortest span from each sentence on, and up to each."""
     from xxhash import xxh3_128_digest
 
     n, digests = _sizes(text)
-    out, j, held = [], 0, 0
+    upto = [0]
+    for k in n:
+        upto.append(upto[-1] + k)
+    enough = lambda i, j: j - i >= least and upto[j] - upto[i] >= words
+    places, j = set(), 0
     for i in range(len(n)):
-        while j < len(n) and not (held >= words and j - i >= least) and not (j - i == 1 and held >= long):
-            held += n[j]
+        while j < len(n) and not enough(i, j):
             j += 1
-        if held >= words and j - i >= least or j - i == 1 and held >= long:
-            out.append((i, j - i, xxh3_128_digest(b"".join(digests[i:j]))))
-        held -= n[i]
-        # A long sentence alone ends its span earlier than the one before it did.
-        if i + 1 < len(n) and n[i + 1] >= long and j > i + 2:
-            j, held = i + 2, n[i + 1]
-    return out
+        if not enough(i, j):
+            break
+        places.add((i, j))
+    i = 0
+    for j in range(1, len(n) + 1):
+        while enough(i + 1, j):
+            i += 1
+        if enough(i, j):
+            places.add((i, j))
+    return [(i, j - i, xxh3_128_digest(b"".join(digests[i:j]))) for i, j in sorted(places)]
 
 
-def _spans(docs: DataFrame, least: int, words: int, long: int, ends: bool = False) -> DataFrame:
+def _spans(docs: DataFrame, least: int, words: int) -> DataFrame:
     """A row per span; ``again`` where the task has seen an earlier equal one."""
 
     def run(batches: Iterator) -> Iterator:
@@ -116,10 +110,7 @@ def _spans(docs: DataFrame, least: int, words: int, long: int, ends: bool = Fals
         places: list[tuple] = []
         for batch in batches:
             for did, tid, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = spans(text or "", least, words, long)
-                if ends:
-                    found = sorted({*found, *end_spans(text or "", least, words, long)})
-                for i, n, digest in found:
+                for i, n, digest in spans(text or "", least, words):
                     keys.append(digest)
                     places.append((did, tid, i, n))
             if len(keys) >= HELD:
@@ -131,15 +122,17 @@ def _spans(docs: DataFrame, least: int, words: int, long: int, ends: bool = Fals
     return docs.mapInArrow(run, SPANS)
 
 
-def substring_dedup(docs: DataFrame, least: int = MIN_SENTENCES, words: int = MIN_WORDS, long: int = LONG_WORDS, ends: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, least: int = MIN_SENTENCES, words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_sentences, n_removed, the removed stretches of the text, and the text without them."""
     # An id for sorting and joining that is never null, and what tells rows with one id apart.
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     keyed = docs.select(did.alias("did"), F.xxhash64("text").alias("tid"), "text")
-    found = _spans(keyed, least, words, long, ends)
+    found = _spans(keyed, least, words)
     rank = F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy("did", "tid", "pos"))
     repeated = found.withColumn("rank", rank).where("again OR rank > 1")
-    marks = repeated.groupBy("did", "tid").agg(F.collect_set(F.struct("pos", "size")).alias("marks"))
+    marks = materialize(repeated.groupBy("did", "tid").agg(F.collect_set(F.struct("pos", "size")).alias("marks")), "span-marks")
+    if marks.count() <= BROADCAST_ROWS:
+        marks = F.broadcast(marks)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), did.alias("did"), F.xxhash64("text").alias("tid"), "text")
     rows = rows.join(marks, ["did", "tid"], "left").select("doc_id", "text", "marks")
 

@@ -35,16 +35,25 @@ def test_op9_against_brute_force(spark):
 
 
 def test_op10_against_brute_force(spark):
-    from maskwright.llm import substring_dedup as S
+    from tests.llm.test_substring_dedup import pieces
 
+    # Runs are compared as words. Every run is hashed that is long enough; longer ones than needed cover nothing more.
     seen, want = set(), {}
     for doc_id, text in sorted(documents(spark)):
-        gone = set()
-        for i, n, digest in S.spans(text or ""):
-            gone.update(range(i, i + n) if digest in seen else ())
-            seen.add(digest)
-        places = S.sentences(text or "")
-        want[doc_id] = (len(places), len(gone), "".join(text[a:b] for k, (a, b) in enumerate(places) if k not in gone))
+        parts, gone = pieces(text or ""), set()
+        said = [" ".join(p.split()) for p in parts]
+        n = [len(p.split()) for p in said]
+        for i in range(len(said)):
+            held = 0
+            for j in range(i, len(said)):
+                held += n[j]
+                if held >= 25 and j > i:
+                    run = "\n".join(said[i : j + 1])
+                    gone.update(range(i, j + 1) if run in seen else ())
+                    seen.add(run)
+                    if held >= 25 + max(n):
+                        break
+        want[doc_id] = (len(parts), len(gone), "".join(p for k, p in enumerate(parts) if k not in gone))
     got = {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in queries.op10_substring_dedup(spark, DATA).collect()}
     assert got == want and any(w[1] for w in want.values())
 
