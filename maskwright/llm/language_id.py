@@ -11,7 +11,8 @@ its size is bounded and it is broadcast. Prediction covers every document.
 Defined cases: a null text, or one without letters, is ``und`` with score 0. Equal posteriors go to the first
 language in alphabetical order; where nothing in a text is known, the most frequent language of the sample is
 predicted. Without any labelled document all are ``und``. Rows without a doc_id are predicted and never learned from.
-Repeated rows are predicted each. Extra columns are ignored.
+Repeated rows are predicted each. Numbers in whatever form are no letters. Texts of any length are read whole, an empty
+table gives no rows. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,10 @@ from maskwright.llm.common import spread
 SAMPLE, WORDS, GRAMS = 3000, 40_000, 60_000
 #: The lengths of n-grams, in the order in which they are tried.
 LENGTHS = (5, 4, 3, 2, 1)
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters that Python's pattern takes for those of words though they are no letters: fractions, superscripts, circled
+#: and Roman numbers and the like.
+NUMERALS = "".join(re.escape(c) for c in map(chr, range(128, 0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
 UNKNOWN = "und"
 CACHE = 300_000
 
