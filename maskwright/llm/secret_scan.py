@@ -1,10 +1,11 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest. DataFrame expressions and MLlib only.
 
-A candidate is a run of 16 or more characters of keys with a digit among them, a run in a provider's format, or a value
-of any make-up and length after a name such as password and = or : (in quotes, what is between them on one line; else up
-to white space, quotes, brackets or one of & , ; |), unless such a run covers it. What tells a key from another such run:
-its length and make-up, how likely its character transitions are in the corpus's own words, how much of it dictionary
-words cover, the path it was found in, and the words beside it. Transitions and dictionary come from the words of all
+A candidate is a run of 16 or more characters of keys with a digit among them, what has a provider's or a standard format
+(web tokens and private keys with their dots and lines too), or a value of any make-up and length after a name such as
+password and = or : (in quotes, what is between them on one line; else up to white space, quotes, brackets or one of
+& , ; |) or after the word bearer, unless such a run covers it; runs within a formatted one are parts of it. What tells a
+key from another such run: its length and make-up, how likely its character transitions are in the corpus's own words and
+numbers, how much of it dictionary words cover, the path it was found in, and the words beside it. Transitions and dictionary come from the words of all
 documents. The forest is fitted on labelled findings, at most about SAMPLE of them; without any, ``label_findings``
 marks those whose provider's format or context is beyond doubt, and the forest decides the rest.
 
@@ -12,8 +13,9 @@ What depends on the value alone is computed once for each distinct value and loo
 a third of the findings share is no burden. Texts are read once for words and once for candidates; neither is joined.
 
 Defined cases: a null or empty text has no candidates. A null path is the empty path. Rows that repeat a doc_id are
-scanned each. Findings without a label are not learned from; if all labels are the same, or there are none, no forest is
-fitted and every finding scores that label, or 1. Extra columns are ignored.
+scanned each, and so are texts of any length, whole. Findings without a label are not learned from; if all labels are the
+same, or there are none, no forest is fitted and every finding scores that label, or 1. A score of one half is a secret.
+An empty table gives no rows. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.functions.patterns import SECRET
 from maskwright.llm.common import lookup, materialize
 
 SAMPLE, TREES, DEPTH, SEED = 20_000, 30, 8, 7
@@ -35,12 +38,18 @@ PROVIDER = "|".join((
     r"^(?:AKIA|ASIA)[A-Z0-9]{16}$", r"^gh[oprsu]_[A-Za-z0-9]{36}$", r"^github_pat_[A-Za-z0-9_]{40,}$", r"^AIza[A-Za-z0-9_-]{35}$",
     r"^xox[baprs]-[A-Za-z0-9-]{10,}$", r"^[sr]k_(?:live|test)_[A-Za-z0-9]{16,}$", r"^glpat-[A-Za-z0-9_-]{20}$", r"^npm_[A-Za-z0-9]{36}$",
 ))
+#: The library's own formats of secrets, but that of a bearer, which is found by its name.
+FORMATS = "|".join(f for f in SECRET if "bearer" not in f)
 NAMED = r"(?i)(?:secret|token|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential)[A-Za-z_]*[\"']?\s*[=:]\s*[\"']?$"
 #: Keys that CANDIDATE passes over for want of a digit or of length: a value and the name (HEAD, as in NAMED) it is given to,
 #: or a provider's format. Names reach no further than NEAR.
 HEAD = NAMED.replace("*", "{0,40}+").replace("|auth|", r"|auth(?!ors?\b)|").removesuffix("$")
+BEARER = r"(?i:\bbearer\s{1,9}+)"
+HEAD = f"{HEAD}(?:{BEARER})?+"
+HEADS = f"(?:{HEAD}|{BEARER})"
 FURTHER = (
-    HEAD + r"(?:(?<=\")[^\"\r\n]++(?=\")|(?<=')[^'\r\n]++(?=')|[^\s\"'&,;<>(){}\[\]|]*[^\s\"'&,;<>(){}\[\]|.:!?])"
+    r"(?<![A-Za-z0-9+/_-])(?-i:" + FORMATS + ")(?![A-Za-z0-9+/_-])" + f"|{BEARER}[A-Za-z0-9._~+/-]{{16,}}+={{0,2}}" + "|" + HEAD
+    + r"(?:(?<=\")[^\"\r\n]++(?=\")|(?<=')[^'\r\n]++(?=')|[^\s\"'&,;<>(){}\[\]|]*[^\s\"'&,;<>(){}\[\]|.:!?])"
     + r"|(?<![A-Za-z0-9+/_-])(?-i:" + PROVIDER.replace("^", "").replace("$", "") + r")(?![A-Za-z0-9+/_-])"
 )
 DIGEST = r"(?i)(?:commit|sha-?\d*|md5|hash|checksum|digest|etag|uuid|guid|revision)\W{0,4}$"
@@ -56,9 +65,9 @@ FEATURES = (
 
 
 def corpus_words(docs: DataFrame) -> DataFrame:
-    """Every word of all texts, in lower case and of at most 30 letters, and how often it occurs."""
-    word = F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")
-    return docs.where("text IS NOT NULL").select(word).where("length(word) BETWEEN 1 AND 30").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """Every word of all texts, in lower case and with 0 for each digit, and how often it occurs."""
+    word = F.explode(F.split(F.regexp_replace(F.lower("text"), "[0-9]", "0"), r"[^\p{L}0]+")).alias("word")
+    return docs.where("text IS NOT NULL").select(word).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _classes(value: Column) -> Column:
@@ -71,8 +80,8 @@ def _pairs(column: str) -> Column:
 
 
 def transitions(words: DataFrame) -> Column:
-    """A map of two characters to the log of how often the second follows the first; at most 29 x 29 entries."""
-    plain = words.where(r"word RLIKE '^[a-z]+$'").select(F.concat(F.lit("^"), "word", F.lit("$")).alias("w"), "n")
+    """A map of two characters to the log of how often the second follows the first; at most 30 x 30 entries."""
+    plain = words.where(r"word RLIKE '^[a-z0]+$'").select(F.concat(F.lit("^"), "word", F.lit("$")).alias("w"), "n")
     pairs = plain.select(F.explode(_pairs("w")).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n"))
     rows = pairs.withColumn("all", F.expr("sum(n) over (partition by substr(pair, 1, 1))")).select("pair", F.log(F.col("n") / F.col("all")).alias("p")).collect()
     return F.create_map(*[F.lit(x) for r in rows for x in (r["pair"], float(r["p"]))]) if rows else F.create_map().cast("map<string,double>")
@@ -92,7 +101,7 @@ def _each(found: str, gaps: str, head: str | None = None) -> Column:
     return F.transform(
         F.arrays_zip(F.col(found).alias("all"), starts.alias("start")),
         lambda z, i: F.struct(
-            z["start"].alias("start"), F.substr(z["all"], F.length(first(z["all"])) + 1).alias("value"),
+            z["start"].alias("start"), F.substr(z["all"], F.length(first(z["all"])) + 1).alias("value"), (F.length(first(z["all"])) > 0).alias("named"),
             F.right(F.concat(name(i), F.get(gaps, i), first(z["all"])), F.lit(NEAR)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(NEAR)).alias("after"),
         ),
     )
@@ -102,10 +111,11 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """doc_id, path, start (in characters), value, and what stands before and after it."""
     rows = docs.select("doc_id", F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), "text").where(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(FURTHER))
     cut = [c for n, p in (("runs", CANDIDATE), ("more", FURTHER)) for c in (F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(n), F.split("text", p, -1).alias(f"{n}_gaps"))]
-    rows = rows.select("doc_id", "path", *cut).select("doc_id", "path", _each("runs", "runs_gaps").alias("runs"), _each("more", "more_gaps", HEAD).alias("more"))
+    rows = rows.select("doc_id", "path", *cut).select("doc_id", "path", _each("runs", "runs_gaps").alias("runs"), _each("more", "more_gaps", HEADS).alias("more"))
     within = lambda m, r: (r["start"] <= m["start"]) & (r["start"] + F.length(r["value"]) >= m["start"] + F.length(m["value"]))
-    more = F.filter("more", lambda m: ~F.exists("runs", lambda r: within(m, r)))
-    return rows.select("doc_id", "path", F.explode(F.concat("runs", more)).alias("c")).select("doc_id", "path", "c.*")
+    rows = rows.withColumn("more", F.filter("more", lambda m: ~F.exists("runs", lambda r: within(m, r))))
+    runs = F.filter("runs", lambda r: ~F.exists("more", lambda m: ~m["named"] & within(r, m)))
+    return rows.select("doc_id", "path", F.explode(F.concat(runs, "more")).alias("c")).select("doc_id", "path", "c.*").drop("named")
 
 
 def label_findings(found: DataFrame) -> DataFrame:
@@ -113,8 +123,9 @@ def label_findings(found: DataFrame) -> DataFrame:
     value, before = F.col("value"), F.col("before")
     number = value.rlike("^[0-9/+_=-]+$")
     no = number | before.rlike(DIGEST) | value.rlike(PLACEHOLDER) | value.rlike("^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$") | value.rlike(SLUG)
-    yes = value.rlike(PROVIDER) | before.rlike(NAMED) & (F.length(value) >= 20) & value.rlike("[A-Za-z]") & value.rlike(f"^(?:{CANDIDATE})$")
-    return found.withColumn("label", F.when(value.rlike(PROVIDER), 1.0).when(no, 0.0).when(yes, 1.0))
+    known = value.rlike(PROVIDER) | value.rlike(f"^(?:{FORMATS})$")
+    yes = before.rlike(NAMED) & (F.length(value) >= 20) & value.rlike("[A-Za-z]") & value.rlike(f"^(?:{CANDIDATE})$")
+    return found.withColumn("label", F.when(known, 1.0).when(no, 0.0).when(yes, 1.0))
 
 
 def _value_features(values: DataFrame, words: DataFrame, follows: Column) -> DataFrame:
