@@ -1,17 +1,23 @@
 """Preference formatting, in DataFrame expressions only.
 
 A pair holds two conversations, chosen and rejected, as arrays of turns. The longest prefix of turns that both share is
-rendered once, as the prompt; what is left of each is rendered as its completion, with the stretches to be trained on:
-the replies of the assistant and the mark that ends them. Each pair is one row and needs no shuffle.
+found turn by turn and rendered once, as the prompt; what is left of each is rendered as its completion, with the
+stretches to be trained on: the replies of the assistant and the mark that ends them. Each pair is one row and needs no
+shuffle.
 
-``collect_conversations`` makes such arrays of a table of turns, in one shuffle by conversation: a conversation is one
-row, whatever its turns' numbers. ``collect_turns`` does so by conversation and block of BLOCK turn numbers, which bounds
-the groups but parts a conversation.
+``collect_conversations`` makes such arrays of a table of turns, in one shuffle by conversation. ``pairs`` makes pairs
+of conversations: those that begin with the same turns up to the first reply are answers to one question, and are paired
+two by two in order of their ids, the one with more text in its replies being chosen; one that is left over is paired
+with itself with its first reply in place of the last. Conversations of a group are told off by a global sort of narrow
+rows, so a question that a third of them begin with is no burden, and each is in one pair only.
 
 Defined cases: rows without conv_id or turn belong to no conversation. A null role is ``unknown``, a null text empty.
-Rows that repeat all four columns count once; different rows with one turn number are ordered by role and text. The
-marks of the format, where a text holds them itself, are broken up, so a text can't begin a turn. Equal conversations
-have an empty completion each; a null array is an empty one. Extra columns are ignored.
+Rows that repeat all four columns count once; different rows with one turn number are ordered by role and text. A
+conversation counts up to its last reply; one without a reply makes no pair, and one that begins with a reply shares its
+question with none. Of equally long replies the lesser conv_id is chosen. The marks of the format, where a text holds
+them itself, are broken up, so a text can't begin a turn. Equal conversations have an empty completion each; a null array
+is an empty one. A conversation of any length is one row; an empty table gives none. Extra columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -19,9 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.llm.common import lookup, materialize
+from maskwright.operators.shared import numbered
+
 #: Fixed values of the format.
 BEGIN, END, TRAINED = "<|im_start|>", "<|im_end|>", "assistant"
-BLOCK = 1000
 TURNS = "array<struct<role:string,text:string>>"
 SPANS = "array<struct<start:int,end:int>>"
 
@@ -76,46 +84,66 @@ def format_preferences(pairs: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def collect_turns(turns: DataFrame, block: int = BLOCK) -> DataFrame:
-    """conv_id, block and the conversation's turns in order, from rows (conv_id, turn, role, text)."""
-    rows = turns.where("conv_id IS NOT NULL AND turn IS NOT NULL").select(
-        "conv_id", F.floor(F.col("turn") / block).cast("long").alias("block"),
-        F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"),
-    )
-    said = F.transform(F.array_sort(F.collect_set("t")), lambda t: F.struct(t["role"], t["text"]))
-    return rows.groupBy("conv_id", "block").agg(said.cast(TURNS).alias("turns"))
-
-
 def collect_conversations(turns: DataFrame) -> DataFrame:
-    """conv_id, the block that the conversation begins in, and all its turns in order.
+    """conv_id and all its turns in order.
 
     Turns are gathered before the shuffle, so a task gets a row of a conversation from each task before it, not one a turn.
     """
     rows = turns.where("conv_id IS NOT NULL AND turn IS NOT NULL").select(
-        "conv_id", "turn", F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t")
+        "conv_id", F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t")
     )
     said = F.transform(F.array_sort(F.collect_set("t")), lambda t: F.struct(t["role"], t["text"]))
-    return rows.groupBy("conv_id").agg(F.floor(F.min("turn") / BLOCK).cast("long").alias("block"), said.cast(TURNS).alias("turns"))
+    return rows.groupBy("conv_id").agg(said.cast(TURNS).alias("turns"))
 
 
-def with_weaker_reply(conversations: DataFrame) -> DataFrame:
-    """Pairs from conversations alone: conv_id, block, chosen and rejected.
+def _replies(turns: Column | str) -> Column:
+    return F.filter(turns, lambda t: t["role"] == TRAINED)
 
-    Chosen is the conversation up to its last reply; rejected gives the first reply in place of the last, or an empty
-    one if there is only one. Conversations without a reply make no pair.
-    """
+
+def with_weaker_reply(conversations: DataFrame) -> DataFrame:
+    """Each of ``conversations`` (conv_id, turns up to the last reply) against itself with the first reply in place of the
+    last, or an empty one if there is only one."""
+    replies, before = _replies("turns"), F.slice("turns", F.lit(1), F.size("turns") - 1)
+    weaker = F.when(F.size(replies) > 1, F.get(replies, F.lit(0))["text"]).otherwise("")
+    rejected = F.concat(before, F.array(F.struct(F.lit(TRAINED).alias("role"), weaker.alias("text")))).cast(TURNS)
+    return conversations.select("conv_id", F.lit(None).cast("long").alias("other_id"), F.col("turns").alias("chosen"), rejected.alias("rejected"))
+
+
+def mates(conversations: DataFrame) -> DataFrame:
+    """conv_id and mate: conversations that begin with the same question, two by two; a row for each of them."""
+    first = F.array_position(F.transform("turns", lambda t: t["role"] == TRAINED), True)
+    question = F.slice("turns", F.lit(1), first.cast("int") - 1)
+    size = F.aggregate(_replies("turns"), F.lit(0).cast("long"), lambda a, t: a + F.length(t["text"]))
+    rows = conversations.where(first > 1).select("conv_id", F.struct(F.xxhash64(question).alias("a"), F.xxhash64(F.lit(1), question).alias("b")).alias("question"), size.alias("size"))
+    rows = materialize(rows, "questions")
+    shared = materialize(rows.groupBy("question").agg(F.count(F.lit(1)).alias("of")).where("of > 1"), "shared-questions")
+    rows = numbered(lookup(rows, shared, "question", "of", "conv_id", how="inner"), ["question", "conv_id"], "n")
+    rows = materialize(rows, "numbered-questions")
+    starts = materialize(rows.groupBy("question").agg(F.min("n").alias("start"), F.first("of").alias("total")), "question-starts")
+    rows = lookup(rows, starts, "question", "total", "conv_id").withColumn("k", F.col("n") - F.col("start"))
+    pair = rows.select("conv_id", "size", F.struct("question", F.expr("k div 2")).alias("pair"))
+    # Two rows to each pair, so the join grows with the rows.
+    other = pair.select("pair", F.col("conv_id").alias("mate"), F.col("size").alias("mate_size"))
+    both = pair.join(other, "pair").where("conv_id <> mate")
+    chosen = (F.col("size") > F.col("mate_size")) | (F.col("size") == F.col("mate_size")) & (F.col("conv_id") < F.col("mate"))
+    return materialize(both.select("conv_id", "mate", chosen.alias("is_chosen")), "mates")
+
+
+def pairs(conversations: DataFrame) -> DataFrame:
+    """conv_id, other_id (null where a conversation is paired with itself), chosen and rejected."""
     places = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.element_at("turns", i)["role"] == TRAINED)
     some = conversations.where(F.size("turns") > 0).withColumn("at", places).where("size(at) > 0")
-    chosen = F.slice("turns", F.lit(1), F.element_at("at", -1))
-    before = F.slice("turns", F.lit(1), F.element_at("at", -1) - 1)
-    weaker = F.when(F.size("at") > 1, F.element_at("turns", F.element_at("at", 1))["text"]).otherwise("")
-    rejected = F.concat(before, F.array(F.struct(F.lit(TRAINED).alias("role"), weaker.alias("text"))))
-    return some.select("conv_id", "block", chosen.alias("chosen"), rejected.cast(TURNS).alias("rejected"))
+    some = materialize(some.select(F.col("conv_id").cast("long").alias("conv_id"), F.slice("turns", F.lit(1), F.element_at("at", -1)).alias("turns")), "conversations")
+    found = mates(some)
+    alone = with_weaker_reply(some.join(found.select("conv_id"), "conv_id", "left_anti"))
+    best = found.where("is_chosen").select("conv_id", F.col("mate").alias("other_id"))
+    two = best.join(some.select("conv_id", F.col("turns").alias("chosen")), "conv_id").join(some.select(F.col("conv_id").alias("other_id"), F.col("turns").alias("rejected")), "other_id")
+    return alone.unionByName(two.select(*alone.columns))
 
 
 def preferences(turns: DataFrame) -> DataFrame:
-    """Formatted pairs of a table of conversations, one of each."""
-    return format_preferences(with_weaker_reply(collect_conversations(turns)), "conv_id", "block")
+    """Formatted pairs of a table of conversations."""
+    return format_preferences(pairs(collect_conversations(turns)), "conv_id", "other_id")
 
 
 def spans_text(column: str) -> Column:

@@ -49,28 +49,44 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> top THEN top END AS refers_to
         FROM g""",
+    # From the definition: whole conversations as lists, pairs by question, the first turn in which two lists differ.
     "op7_preference_format": r"""
         WITH t AS (
-            SELECT DISTINCT conv_id, CAST(floor(turn / 1000) AS BIGINT) AS block, turn,
-                   coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+            SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
             FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-        k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, block ORDER BY turn, role, text) AS k FROM t),
-        a AS (
-            SELECT conv_id, block, min(k) AS first, max(k) AS last, arg_min(text, k) AS reply
-            FROM k WHERE role = 'assistant' GROUP BY ALL),
-        r AS (
-            SELECT conv_id, block, k, last, text <> other AS differs,
-                   '<|im_start|>' || replace(role, '<|', '< |') || chr(10) AS head,
-                   replace(text, '<|', '< |') || '<|im_end|>' AS said, replace(other, '<|', '< |') || '<|im_end|>' AS instead
-            FROM (SELECT k.*, last, CASE WHEN k < last THEN text WHEN first < last THEN reply ELSE '' END AS other
-                  FROM k JOIN a USING (conv_id, block) WHERE k <= last)),
+        c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS x FROM t GROUP BY conv_id),
+        p AS (SELECT *, list_filter(range(1, len(x) + 1), lambda i: x[i].role = 'assistant') AS spots FROM c),
+        s AS (
+            SELECT conv_id, x[1:spots[len(spots)]] AS x, x[1:spots[1] - 1] AS q, x[spots[1]].text AS reply, len(spots) AS n,
+                   list_sum(list_transform(spots, lambda i: length(x[i].text))) AS size
+            FROM p WHERE len(spots) > 0),
+        k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY conv_id) - 1 AS k FROM s WHERE len(q) > 0),
+        m AS (
+            SELECT a.conv_id AS a, b.conv_id AS b, a.size >= b.size AS fuller FROM k a JOIN k b
+            ON a.q = b.q AND a.k % 2 = 0 AND b.k = a.k + 1),
+        pairs AS (
+            SELECT a.conv_id, b.conv_id AS other_id, a.x AS c, b.x AS r
+            FROM m JOIN s a ON a.conv_id = CASE WHEN fuller THEN m.a ELSE m.b END JOIN s b ON b.conv_id = CASE WHEN fuller THEN m.b ELSE m.a END
+            UNION ALL
+            SELECT conv_id, NULL, x, x[1:len(x) - 1] || [{'role': 'assistant', 'text': CASE WHEN n > 1 THEN reply ELSE '' END}]
+            FROM s WHERE conv_id NOT IN (SELECT a FROM m UNION ALL SELECT b FROM m)),
         d AS (
-            SELECT conv_id, block, max(last) - CAST(bool_or(differs) AS INT) AS n,
-                   coalesce(string_agg(head || said || chr(10), '' ORDER BY k) FILTER (NOT (k = last AND differs)), '') AS prompt,
-                   coalesce(max(head || said || chr(10)) FILTER (k = last AND differs), '') AS chosen,
-                   coalesce(max(head || instead || chr(10)) FILTER (k = last AND differs), '') AS rejected,
-                   max(CASE WHEN k = last AND differs THEN length(head) || ':' || length(head || said) ELSE '' END) AS chosen_spans,
-                   max(CASE WHEN k = last AND differs THEN length(head) || ':' || length(head || instead) ELSE '' END) AS rejected_spans
-            FROM r GROUP BY conv_id, block)
-        SELECT conv_id, block, CAST(n AS INT) AS n_common, prompt, chosen, rejected, chosen_spans, rejected_spans FROM d""",
+            SELECT *, coalesce(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i] <> r[i])[1] - 1, least(len(c), len(r))) AS n FROM pairs),
+        marked AS (
+            SELECT conv_id, other_id, n,
+                   list_transform(c, lambda x: {'trained': x.role = 'assistant', 'head': '<|im_start|>' || replace(x.role, '<|', '< |') || chr(10), 'body': replace(x.text, '<|', '< |') || '<|im_end|>'}) AS c,
+                   list_transform(r, lambda x: {'trained': x.role = 'assistant', 'head': '<|im_start|>' || replace(x.role, '<|', '< |') || chr(10), 'body': replace(x.text, '<|', '< |') || '<|im_end|>'}) AS r
+            FROM d),
+        parts AS (SELECT conv_id, other_id, n, c[1:n] AS p, c[n + 1:] AS c, r[n + 1:] AS r FROM marked)
+        SELECT conv_id, CAST(other_id AS BIGINT) AS other_id, CAST(n AS INT) AS n_common,
+               array_to_string(list_transform(p, lambda x: x.head || x.body || chr(10)), '') AS prompt,
+               array_to_string(list_transform(c, lambda x: x.head || x.body || chr(10)), '') AS chosen,
+               array_to_string(list_transform(r, lambda x: x.head || x.body || chr(10)), '') AS rejected,
+               array_to_string(list_transform(list_filter(range(1, len(c) + 1), lambda i: c[i].trained), lambda i:
+                   (coalesce(list_sum(list_transform(c[1:i - 1], lambda x: length(x.head) + length(x.body) + 1)), 0) + length(c[i].head)) || ':' ||
+                   (coalesce(list_sum(list_transform(c[1:i - 1], lambda x: length(x.head) + length(x.body) + 1)), 0) + length(c[i].head) + length(c[i].body))), ' ') AS chosen_spans,
+               array_to_string(list_transform(list_filter(range(1, len(r) + 1), lambda i: r[i].trained), lambda i:
+                   (coalesce(list_sum(list_transform(r[1:i - 1], lambda x: length(x.head) + length(x.body) + 1)), 0) + length(r[i].head)) || ':' ||
+                   (coalesce(list_sum(list_transform(r[1:i - 1], lambda x: length(x.head) + length(x.body) + 1)), 0) + length(r[i].head) + length(r[i].body))), ' ') AS rejected_spans
+        FROM parts""",
 }

@@ -1,6 +1,11 @@
+import random
+
+import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
 from maskwright.llm import chat_format as P
+from maskwright.llm import oracles
 
 PAIRS = "k long, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>, prompt string, n_common string"
 
@@ -42,25 +47,56 @@ def test_against_brute_force(spark):
         assert [tuple(x) for x in row.chosen_spans] == cs and [tuple(x) for x in row.rejected_spans] == rs
 
 
-def test_turns_are_collected_in_bounded_blocks(spark):
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def test_defined_cases_of_turns(spark):
     rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for t in range(25)]
     rows += [(1, 0, "user", "t0"), (1, 1, "assistant", "also"), (None, 0, "user", "x"), (2, None, "user", "x"), (3, 0, None, None), (4, 5, "assistant", "only")]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("block", F.lit("x"))
-    got = {(r.conv_id, r.block): [tuple(t) for t in r.turns] for r in P.collect_turns(turns, 10).collect()}
-    assert sorted(got) == [(1, 0), (1, 1), (1, 2), (3, 0), (4, 0)]
-    assert got[1, 0][:3] == [("user", "t0"), ("assistant", "also"), ("assistant", "t1")] and len(got[1, 0]) == 11
-    assert got[3, 0] == [("unknown", "")]
-    pairs = {(r.conv_id, r.block): r for r in P.with_weaker_reply(P.collect_turns(turns, 10)).collect()}
-    assert sorted(pairs) == [(1, 0), (1, 1), (1, 2), (4, 0)]
-    assert pairs[1, 0].rejected[-1].text == "also" and pairs[1, 0].chosen[-1].text == "t9"
-    assert pairs[4, 0].rejected[-1].text == "" and len(pairs[1, 2].chosen) == 4
+    turns = spark.createDataFrame(rows, TURNS).withColumn("other_id", F.lit("x")).withColumn("turns", F.lit("x"))
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in P.collect_conversations(turns).collect()}
+    assert sorted(got) == [1, 3, 4]
+    assert got[1][:3] == [("user", "t0"), ("assistant", "also"), ("assistant", "t1")] and len(got[1]) == 26
+    assert got[3] == [("unknown", "")]
+    pairs = {r.conv_id: r for r in P.pairs(P.collect_conversations(turns)).collect()}
+    assert sorted(pairs) == [1, 4]
+    assert pairs[1].rejected[-1].text == "also" and pairs[1].chosen[-1].text == "t23"
+    assert pairs[4].rejected[-1].text == "" and pairs[4].other_id is None
     assert P.preferences(turns.limit(0)).count() == 0
 
 
+def test_answers_to_one_question_are_paired(spark):
+    rng = random.Random(8)
+    rows = []
+    for c in range(90):
+        shared = c % 3 == 0
+        x = [("system", "s")] if c % 2 else []
+        x += [("user", f"question {0 if shared else c % 11}")]
+        for k in range(rng.randrange(4)):
+            x += [("assistant", f"answer {rng.randrange(2) if k == 0 else rng.randrange(9)}" * rng.randrange(1, 3)), ("user", f"more {rng.randrange(2)}")]
+        rows += [(1000 - c, t, role, text) for t, (role, text) in enumerate(x)]
+    turns = spark.createDataFrame(rows, TURNS).repartition(6)
+    out = P.preferences(turns)
+    for side in ("chosen", "rejected"):
+        out = out.withColumn(f"{side}_spans", P.spans_text(f"{side}_spans"))
+    got = out.collect()
+    con = duckdb.connect()
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"])  # noqa: F841
+    want = con.sql(oracles.ORACLES["op7_preference_format"])
+    columns = sorted(out.columns)
+    assert columns == sorted(want.columns)
+    data = [dict(zip(want.columns, r, strict=True)) for r in want.fetchall()]
+    assert sorted(tuple(map(str, (r[c] for c in columns))) for r in got) == sorted(tuple(map(str, (r[c] for c in columns))) for r in data)
+    ids = [i for r in got for i in (r.conv_id, r.other_id) if i is not None]
+    assert len(ids) == len(set(ids)) and sum(r.other_id is not None for r in got) > 20
+    # The prefix had to be looked for: it is the question alone, or goes on for some turns.
+    assert len({r.n_common for r in got if r.other_id is not None}) > 2
+
+
 def test_no_python_on_the_executors(spark):
-    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    turns = spark.createDataFrame([(c, t, "assistant" if t else "user", f"a{t}") for c in range(6) for t in range(2)], TURNS)
     plan = P.preferences(turns.withColumn("turn", F.col("turn") + 1))._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan and plan.count("Exchange hashpartitioning") <= 2
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_a_conversation_is_one_pair_whatever_its_numbers(spark):
