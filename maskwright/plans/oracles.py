@@ -175,7 +175,7 @@ ORACLES: dict[str, str] = {
         SELECT * FROM one UNION ALL SELECT seq + (SELECT count(*) FROM one), category, real FROM two""",
     "vault_export": f"""{_FIRST_SEEN}, f AS (SELECT *, {surrogate('category', 'real')} AS fake FROM vault)
         SELECT seq AS ord, '  {{' || chr(10) || '    "category": "' || category || '",' || chr(10) || '    "real": "' || real || '",' || chr(10) || '    "fake": "' || fake || '"' || chr(10)
-               || CASE WHEN seq = (SELECT max(seq) FROM f) THEN '  }}' ELSE '  }},' END AS line FROM f""",
+               || CASE WHEN seq = (SELECT max(seq) FROM f) THEN '  }}' ELSE '  }},' END AS line FROM f UNION ALL SELECT -1, '[' UNION ALL SELECT 4611686018427387904, ']'""",
     "eval_counts": f"{_EVAL} SELECT category, gold, matched, good, fp, round(p, 9) AS precision, round(r, 9) AS recall, round(f, 9) AS f1 FROM scores",
     "eval_table": f"""{_EVAL}, shown AS (SELECT *, list_position(['account_number', 'private_address', 'private_date', 'private_email', 'private_person', 'private_phone', 'private_url', 'secret', 'OVERALL'], category) - 1 AS ord FROM scores)
         SELECT CAST(ord AS BIGINT) AS ord, printf('%-16s %6d %7d %4d %9s %7s %6s', category, gold, matched, fp, coalesce(printf('%.1f%%', p * 100), '  -  '), coalesce(printf('%.1f%%', r * 100), '  -  '), coalesce(printf('%.1f%%', f * 100), '  -  ')) AS line FROM shown""",
@@ -186,8 +186,9 @@ ORACLES: dict[str, str] = {
                CAST(CASE WHEN tok_end - tok_start <= 64 THEN 64 WHEN tok_end - tok_start <= 128 THEN 128 WHEN tok_end - tok_start <= 256 THEN 256 WHEN tok_end - tok_start <= 512 THEN 512 ELSE 1024 END AS BIGINT) AS padded FROM w""",
     "decode_spans": _decoded("0"),
     "min_score_filter": _decoded("CAST(0.4321 AS FLOAT)"),
-    "tsv_unescape": f"SELECT o_orderkey, md5({_UNESCAPED}) AS plain_md5, true AS same FROM (SELECT o_orderkey, {ESCAPED} AS t FROM orders)",
-    "char_to_byte": "SELECT doc_id, " + ", ".join(f"octet_length(encode(text[1:{k}])) AS at_{k}" for k in (10, 100, 1000)) + " FROM documents",
+    "tsv_unescape": f"SELECT o_orderkey, md5({_UNESCAPED}) AS plain_md5, md5(replace(t, chr(92), chr(92) || chr(92))) AS escaped_md5 FROM (SELECT o_orderkey, {ESCAPED} AS t FROM orders)",
+    "char_to_byte": """SELECT doc_id, CAST(100 * k AS BIGINT) AS at, octet_length(encode(text[1:100 * k])) AS byte
+        FROM documents, LATERAL (SELECT unnest(range(0, length(text) // 100 + 1)) AS k) WHERE text IS NOT NULL""",
     "json_string_leaves": """SELECT event_id, 'messages/0/kind' AS path, event_type AS value, true AS content FROM events
         UNION ALL SELECT event_id, 'id', 'e' || event_id, false FROM events""",
     "json_write_back": """SELECT event_id, '{"messages":[{"kind":"' || upper(event_type) || '","value":' || CAST(trunc(value) AS BIGINT) || '}]}' AS j FROM events""",
@@ -196,7 +197,7 @@ ORACLES: dict[str, str] = {
     "scan_report": f"""WITH {spans(DOCS)}, l AS (SELECT id, string_agg(category || ' [' || s || '..' || e || '] score=1.000 ' || text, chr(10) ORDER BY n) AS report FROM spans GROUP BY id)
         SELECT src.id AS doc_id, coalesce(report, 'no PII detected') AS report FROM src LEFT JOIN l USING (id)""",
     "jsonl_reframe": f"""WITH r AS ({_spliced("'[' || upper(category) || ']'", "redacted")})
-        SELECT doc_id, '{{"doc":' || doc_id || ',"text":"' || regexp_replace(substr(redacted, 1, 200), '[^A-Za-z ]', '', 'g') || '","z":1.5}}' AS line FROM r""",
+        SELECT doc_id, '{{"doc":' || doc_id || ',"text":' || to_json(redacted) || ',"z":1.5}}' AS line FROM r""",
     "source_lines": f"SELECT {_NUMBERED} AS id, md5(text) AS text_md5 FROM documents",
     "source_jsonl": f"SELECT {_NUMBERED} AS id, md5(text) AS text_md5, doc_id FROM documents",
     "source_tsv": "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS id, c_name AS text FROM customer",

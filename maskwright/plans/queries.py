@@ -194,7 +194,7 @@ def vault_resume(spark, sf_dir):
 def vault_export(spark, sf_dir):
     """The vault as lines of JSON, in order."""
     entries = materialize(vault.build(vault.values(vault.placed(scanned(spark, sf_dir), ["doc_id"]), ["doc_id"])), "vault")
-    return sinks.vault_lines(entries).where("ord BETWEEN 0 AND 1000000000").select(F.col("ord").cast(LONG).alias("ord"), "line")
+    return sinks.vault_lines(entries).select(F.col("ord").cast(LONG).alias("ord"), "line")
 
 
 def _labelled(spark, sf_dir):
@@ -248,13 +248,14 @@ ESCAPED = r"'a' || chr(92) || CASE o_orderkey % 5 WHEN 0 THEN 'n' WHEN 1 THEN 't
 
 def tsv_unescape(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{ESCAPED} AS t")
-    return rows.select("o_orderkey", F.md5(readers.unescape("t").cast("binary")).alias("plain_md5"), (readers.unescape(readers.escape("t")) == F.col("t")).alias("same"))
+    return rows.select("o_orderkey", F.md5(readers.unescape("t").cast("binary")).alias("plain_md5"), F.md5(readers.escape("t").cast("binary")).alias("escaped_md5"))
 
 
 def char_to_byte(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    at = lambda k: readers.char_to_byte("text", F.lit(k)).cast(LONG).alias(f"at_{k}")
-    return docs.select("doc_id", at(10), at(100), at(1000))
+    """The byte offsets of every hundredth character of each document, to its end."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    places = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.length("text"), F.lit(100))).alias("at"))
+    return places.select("doc_id", F.col("at").cast(LONG).alias("at"), readers.char_to_byte("text", F.col("at")).cast(LONG).alias("byte"))
 
 
 def json_string_leaves(spark, sf_dir):
@@ -281,15 +282,9 @@ def scan_report(spark, sf_dir):
 
 
 def jsonl_reframe(spark, sf_dir):
-    docs = scanned(spark, sf_dir).select("doc_id", F.concat(F.lit('{"z":1.5,"text":"old","doc":'), "doc_id", F.lit("}")).alias("raw"), F.substring(S.redact("text", "spans"), 1, 200).alias("new"))
-    docs = docs.withColumn("new", F.regexp_replace("new", r"[^A-Za-z ]", ""))
-    return docs.select("doc_id", sinks.reframed("raw", "new").alias("line"))
-
-
-def jsonl_reframe_whole(spark, sf_dir):
-    """The same with the whole redacted text, which DuckDB's SQL can't escape as JSON does."""
+    """Each document's whole redacted text in the envelope that it came in."""
     docs = scanned(spark, sf_dir).select("doc_id", F.concat(F.lit('{"z":1.5,"text":"old","doc":'), "doc_id", F.lit("}")).alias("raw"), S.redact("text", "spans").alias("new"))
-    return docs.select("doc_id", sinks.reframed("raw", "new").alias("line"))
+    return sinks.reframe(docs, "raw", "new").select("doc_id", "line")
 
 
 def source_lines(spark, sf_dir):
@@ -338,7 +333,7 @@ def labelled_corpus(spark, sf_dir):
 
 
 def _conversations(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL").selectExpr("conv_id", "turn", f"{MAIL} AS text")
+    rows = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{MAIL} AS text")
     return rows.withColumn("spans", S.regex_spans("text"))
 
 
@@ -425,7 +420,7 @@ QUERIES = {
     "restore_plan": restore_plan, "restore_longest_prefix": restore_longest_prefix, "vault_cap": vault_cap, "vault_resume": vault_resume, "vault_export": vault_export,
     "eval_counts": eval_counts, "eval_table": eval_table, "token_windows": token_windows, "decode_spans": decode_spans, "min_score_filter": min_score_filter,
     "tsv_unescape": tsv_unescape, "char_to_byte": char_to_byte, "json_string_leaves": json_string_leaves, "json_write_back": json_write_back,
-    "prose_filter": prose_filter, "scan_report": scan_report, "jsonl_reframe": jsonl_reframe, "jsonl_reframe_whole": jsonl_reframe_whole, "source_lines": source_lines, "source_jsonl": source_jsonl,
+    "prose_filter": prose_filter, "scan_report": scan_report, "jsonl_reframe": jsonl_reframe, "source_lines": source_lines, "source_jsonl": source_jsonl,
     "source_tsv": source_tsv, "source_delimited": source_delimited, "source_files": source_files, "labelled_corpus": labelled_corpus,
     "conversation_anonymize": conversation_anonymize, "ooxml_rewrite": _rewritten("docx"), "pdf_rewrite": _rewritten("pdf"),
     "stream_vault": stream_vault, "stream_restore": stream_restore, "stream_outcomes": stream_outcomes,

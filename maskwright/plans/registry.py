@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from maskwright.plans.oracles import ORACLES
-from maskwright.plans.queries import QUERIES
+from maskwright.plans import oracles, queries, service_oracles, services
+
+QUERIES = queries.QUERIES | services.QUERIES
+ORACLES = oracles.ORACLES | service_oracles.ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -7,9 +7,9 @@ import re
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 #: Fixed values of a stored vault: its format and version.
 MAGIC, VERSION = "maskwright-vault", 1
@@ -53,21 +53,25 @@ def scan_line(id: Column | str = "id", spans: Column | str = "spans") -> Column:
     return F.to_json(F.struct(F.col(id).alias("id") if isinstance(id, str) else id.alias("id"), F.col(spans).alias("spans") if isinstance(spans, str) else spans.alias("spans")))
 
 
-def reframed(raw: Column | str, text: Column | str, field: str = "text") -> Column:
-    """The JSON object with that field's text replaced and all else as it was, keys sorted; an object of its own where
-    there was none. JSON types survive only outside of Spark's own types, so this is an Arrow-batched function."""
+def reframe(docs: DataFrame, raw: str = "raw", text: str = "text", field: str = "text", out: str = "line") -> DataFrame:
+    """``docs`` with the JSON object in ``raw`` whose ``field`` is replaced by ``text`` and all else as it was, keys sorted;
+    an object of its own where there was none. JSON types survive only outside of Spark's own types, so this is an
+    Arrow-batched pass."""
 
-    @F.pandas_udf("string")
-    def put(raw: pd.Series, text: pd.Series) -> pd.Series:
-        out = []
-        for r, t in zip(raw, text, strict=True):
-            value = json.loads(r) if r is not None else None
-            value = value if isinstance(value, dict) else {}
-            value[field] = t
-            out.append(json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":")))
-        return pd.Series(out, dtype=object)
+    def one(r: str | None, t: str | None) -> str:
+        value = json.loads(r) if r is not None else None
+        value = value if isinstance(value, dict) else {}
+        value[field] = t
+        return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
-    return put(F.col(raw) if isinstance(raw, str) else raw, F.col(text) if isinstance(text, str) else text)
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            lines = [one(r, t) for r, t in zip(batch.column(raw).to_pylist(), batch.column(text).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lines, pa.string())], names=[*batch.schema.names, out])
+
+    return docs.mapInArrow(run, StructType([*docs.schema]).add(out, StringType()))
 
 
 def vault_lines(vault: DataFrame) -> DataFrame:

@@ -147,7 +147,8 @@ class Vault:
 def vault_commands(commands: DataFrame, cap: int = 0, seed: int = 0, idle: str | None = None) -> DataFrame:
     """Answers to a stream (or table) of COMMANDS; ``spans`` come from the pattern pass or a detector before.
 
-    ``idle``, such as ``7 days``, is after how much time without commands a vault's state is dropped; by default never.
+    ``idle``, such as ``7 days``, is after how much time without commands a vault's state is dropped, in a stream that goes on
+    (one that only takes what is there now would wait for the time to pass); by default never.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

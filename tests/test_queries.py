@@ -40,21 +40,3 @@ def test_query_matches_sql(spark, duck, name):
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() > 0
     assert set(registry.ORACLES) <= set(registry.QUERIES) <= set(entry.queries())
-
-
-def test_whole_texts_are_reframed(spark):
-    import json
-
-    lines = {r.doc_id: r.line for r in registry.QUERIES["jsonl_reframe_whole"](spark, DATA).collect()}
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
-    spans = {}
-    for r in registry.QUERIES["pii_scan"](spark, DATA).collect():
-        spans.setdefault(r.doc_id, []).append((r.s, r.e, r.category))
-    assert set(lines) == set(docs) and spans
-    for i, text in docs.items():
-        raw, out, at = (text or "").encode(), b"", 0
-        for s, e, category in sorted(spans.get(i, ())):
-            out, at = out + raw[at:s] + f"[{category.upper()}]".encode(), e
-        want = None if text is None else (out + raw[at:]).decode()
-        assert lines[i] == json.dumps({"doc": i, "text": want, "z": 1.5}, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-    assert any(len(t or "") > 1000 for t in docs.values())

@@ -31,7 +31,7 @@ def test_jsonl(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"text":"one","k":7}\n\n{"text":5}\nnot json\n{"other":1}\n[1]\n')
     rows = R.read(spark, str(tmp_path / "a.jsonl"))
     assert got(rows) == [("0", "one"), ("2", ""), ("4", ""), ("5", "")]
-    back = rows.where("id in ('0', '5')").orderBy("id").select(K.reframed("raw", F.lit("neu é"))).collect()
+    back = K.reframe(rows.where("id in ('0', '5')").withColumn("new", F.lit("neu é")), "raw", "new").orderBy("id").select("line").collect()
     assert [r[0] for r in back] == ['{"k":7,"text":"neu é"}', '{"text":"neu é"}']
 
 
