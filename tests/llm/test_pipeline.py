@@ -65,3 +65,45 @@ def _windows(w, item=True, size=10):
 
 def test_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "n-gram Jaccard join", "benchmark decontamination", "best-fit packing"]
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def tables(spark, folder, docs, columns):
+    spark.createDataFrame(docs, columns).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], LABELS).limit(0).write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "a benchmark question of ten words and one or two more")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_odd_rows_pass_through_every_stage(spark, tmp_path):
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [
+        (1, "clean text of its own"), (2, near), (3, near + " more"), (None, near), (None, None), (None, None), (4, ""), (5, None), (6, "a  b"), (6, "a b"), (6, "other"), (7, "twice"), (7, "twice"),
+        (8, "long " * 50_000), (None, "A benchmark question, of ten words and one or two more!"), (9, "x a benchmark question of ten words and one or two more"),
+    ]
+    names = ["doc_id", "text", "lang", "source", "n_chars", "_id", "_sha", "identity", "_n", "kept", "row", "hash"]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names[5:])
+    folder = tables(spark, tmp_path, [(i, t, None, "s", None, *["x"] * 7) for i, t in rows], columns)
+    docs, seen = table(spark, folder, "documents"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == names, name
+        docs = spark.createDataFrame(docs.collect(), columns)
+        seen.append(sorted(((r.doc_id, r.text) for r in docs.collect()), key=str))
+    everything, exact, near_, clean = seen
+    assert everything == sorted(rows, key=str)  # without labels all are accepted
+    assert exact == sorted([(1, rows[0][1]), (2, near), (3, near + " more"), (4, ""), (6, "a  b"), (6, "other"), (7, "twice"), (8, "long " * 50_000), *rows[-2:]], key=str) or exact == sorted([(1, rows[0][1]), (2, near), (3, near + " more"), (4, ""), (6, "a b"), (6, "other"), (7, "twice"), (8, "long " * 50_000), *rows[-2:]], key=str)
+    assert (2, near) in near_ and (3, near + " more") not in near_
+    assert {i for i, _ in clean} == {1, 2, 4, 6, 7, 8}
+    packed = corpus_pipeline.pack(spark, docs, folder)
+    assert {r.doc_id for r in packed.collect()} == {1, 2, 4, 6, 7, 8}
+
+
+def test_three_rows_and_none(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(60))
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    folder = tables(spark, tmp_path / "three", [(0, text, "en", "s", 1), (1, text + " more", "en", "s", 1), (2, "something else", "en", "s", 1)], columns)
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, folder).collect()) == [0, 2]
+    assert corpus_pipeline.run(spark, tables(spark, tmp_path / "none", [], columns)).count() == 0
