@@ -22,7 +22,7 @@ Detector = Callable[[DataFrame], DataFrame]
 def spread(docs: DataFrame) -> DataFrame:
     """``docs`` dealt out anew where there are few files: a file of one row group is one task else, and the pattern pass
     is bound by the processor."""
-    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if len(docs.inputFiles()) < 2 else docs
+    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if len(docs._jdf.inputFiles()) < 2 else docs  # counted in the JVM
 
 
 def regex_detector(min_score: float = 0.0) -> Detector:

@@ -10,6 +10,7 @@ no fault; a missing scope is a scope of its own; a category that isn't known get
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from maskwright.functions import spans as S
 from maskwright.functions.surrogates import surrogate
 from maskwright.operators.shared import BROADCAST_ROWS, fresh, materialize, numbered, row_identity
 
+#: Makes a surrogate of category, value, attempt and seed.
+Make = Callable[[Column, Column, Column, int], Column]
 #: Surrogates tried for a value before its number is appended to one.
 ATTEMPTS = 64
 
@@ -41,8 +44,11 @@ def values(placed: DataFrame, order: list[str], scope: list[str] | None = None)
     return each.groupBy(*scope, F.col("s.category").alias("category"), F.col("s.text").alias("real")).agg(F.min(place).alias("first"))
 
 
-def build(found: DataFrame, scope: list[str] | None = None, existing: DataFrame | None = None, seed: int = 0) -> DataFrame:
-    """The vault of the ``values`` found; after those of an ``existing`` vault, which keep their surrogates."""
+def build(found: DataFrame, scope: list[str] | None = None, existing: DataFrame | None = None, seed: int = 0, make: Make = surrogate) -> DataFrame:
+    """The vault of the ``values`` found; after those of an ``existing`` vault, which keep their surrogates.
+
+    ``make`` is what invents a surrogate of a category, a value and an attempt, with a seed.
+    """
     scope = scope or []
     keys = [*scope, "category", "real"]
     new, start = found, 0
@@ -63,7 +69,7 @@ def build(found: DataFrame, scope: list[str] | None = None, existing: DataFrame
     else:
         new = numbered(new, ["first", "category", "real"], "seq", start).withColumn("seq", F.col("seq").cast("long"))
     columns = [*scope, "seq", "category", "real", "fake"]
-    minted = _mint(new.select(*scope, "seq", "category", "real"), existing, scope, seed).select(*columns)
+    minted = _mint(new.select(*scope, "seq", "category", "real"), existing, scope, seed, make).select(*columns)
     return minted if existing is None else existing.select(*columns).unionByName(minted)
 
 
@@ -72,13 +78,13 @@ def _same(left: list[str], right: list[str]) -> Column:
     return functools.reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)])
 
 
-def _mint(new: DataFrame, existing: DataFrame | None, scope: list[str], seed: int) -> DataFrame:
+def _mint(new: DataFrame, existing: DataFrame | None, scope: list[str], seed: int, make: Make) -> DataFrame:
     """``new`` with surrogates that no two share: the first to come keeps one, the others try again."""
     names = [*scope, "fake"]
     taken = existing.select(*names) if existing is not None else None
     left, done = new, None
     for attempt in range(ATTEMPTS):
-        tried = left.withColumn("fake", surrogate(F.col("category"), F.col("real"), F.lit(attempt), seed))
+        tried = left.withColumn("fake", make(F.col("category"), F.col("real"), F.lit(attempt), seed))
         if taken is not None:
             theirs = [f"_t{i}" for i in range(len(names))]
             used = taken.select(F.lit(True).alias("_taken"), *[F.col(c).alias(t) for c, t in zip(names, theirs, strict=True)])
@@ -93,7 +99,7 @@ def _mint(new: DataFrame, existing: DataFrame | None, scope: list[str], seed: in
         left = tried.where("NOT _ok").drop("_ok", "fake")
         if left.isEmpty():
             return done
-    last = surrogate(F.col("category"), F.col("real"), F.lit(0), seed)
+    last = make(F.col("category"), F.col("real"), F.lit(0), seed)
     return done.unionByName(left.withColumn("fake", F.concat(last, F.lit("-"), F.col("seq").cast("string"))).select(*done.columns))
 
 
@@ -140,8 +146,8 @@ def anonymize(docs: DataFrame, placed: DataFrame, vault: DataFrame, key: list[st
     )
 
 
-def anonymize_corpus(docs: DataFrame, key: list[str], scope: list[str] | None = None, existing: DataFrame | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def anonymize_corpus(docs: DataFrame, key: list[str], scope: list[str] | None = None, existing: DataFrame | None = None, seed: int = 0, make: Make = surrogate) -> tuple[DataFrame, DataFrame]:
     """Anonymized documents and the vault that they share; with ``scope``, one for each value of those columns."""
     some = placed(docs, key, scope)
-    vault = materialize(build(values(some, key, scope), scope, existing, seed), "vault")
+    vault = materialize(build(values(some, key, scope), scope, existing, seed, make), "vault")
     return anonymize(docs, some, vault, key, scope), vault

@@ -110,3 +110,20 @@ def test_stored_vault(spark, tmp_path):
     with pytest.raises(ValueError, match="corrupt"):
         K.load_vault(spark, path)
     assert K.load_vault(spark, path) is None
+
+
+def test_base64_and_lossy_text(spark):
+    rows = spark.createDataFrame([("aGVsbG8=",), ("w6k=",), ("ww==",), ("*",), (None,)], "b string")
+    assert [r[0] for r in rows.select(R.base64_text("b")).collect()] == ["hello", "é", "\ufffd", None, None]
+
+
+def test_lines_of_many_splits_are_numbered_in_order(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"f{k}.txt").write_text("\ufeff" * (k == 0) + "".join(f"{k}-{i}\n" for i in range(500)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        rows = [(int(r.id), r.text) for r in R.read(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(rows) == [(500 * k + i, f"{k}-{i}") for k in range(3) for i in range(500)]

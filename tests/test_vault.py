@@ -137,3 +137,11 @@ def test_resuming_a_vault_of_one_entry(spark):
     one = V.build(value("a"))
     both = V.build(value("a", "b"), existing=one)
     assert sorted((r.seq, r.real) for r in both.collect()) == [(0, "a"), (1, "b")]
+
+
+def test_another_way_to_invent_surrogates(spark, docs):
+    make = lambda category, real, attempt, seed: F.concat(F.lit("<"), category, F.lit(":"), F.length(real).cast("string"), F.lit("."), attempt.cast("string"), F.lit(">"))
+    out, vault = V.anonymize_corpus(docs, ["doc_id"], make=make)
+    fakes = {r.real: r.fake for r in vault.collect()}
+    assert fakes["a@b.de"] == "<private_email:6.0>" and fakes["c@d.ee"] == "<private_email:6.1>" and fakes["A@b.de"] == "<private_email:6.2>"
+    assert all("@" not in (r.anonymized or "") for r in out.collect())
