@@ -20,7 +20,7 @@ def spread(docs: DataFrame) -> DataFrame:
 
     Tables of more files are left as they are.
     """
-    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if len(docs.inputFiles()) == 1 else docs
+    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if len(docs._jdf.inputFiles()) == 1 else docs
 
 
 def identity(doc_id: str = "doc_id", text: str = "text") -> Column:

@@ -7,8 +7,9 @@ first, fill the smallest gap that takes them. Both work on runs of equal bins, s
 the capacity alone. Pieces find their place by their rank among the pieces of equal length: each task numbers its own,
 and sums over (task, length) do the rest, so a length that a third of the pieces share meets in no single task.
 
-Defined cases: a null or empty text is the end id alone. Repeated rows are packed each. Only documents longer than the
-capacity are cut; no id is lost. An empty table gives no rows. Extra columns are ignored.
+Defined cases: a null or empty text is the end id alone. Repeated rows, and rows without a doc_id, are packed each. Only
+documents longer than the capacity are cut, however long; no id is lost. Pieces of equal length are placed in any order. An
+empty table gives no rows. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
