@@ -6,8 +6,8 @@ shortest from each sentence on and the shortest up to each sentence are hashed,
 repeated span covers is in one of those within it, so the same sentences are removed as if every run were hashed.
 
 A task first compares the spans it holds itself, so of a span that a third of the corpus repeats each task passes on
-one; those meet by hash in one shuffle, and the places of repeated spans go back to their documents: by a broadcast where
-at most BROADCAST_ROWS documents have any, else by a shuffled join.
+one; those meet by hash in one shuffle, and the places of repeated spans go back to their documents by another. Where at
+most BROADCAST_ROWS documents have any, a broadcast of their ids first keeps all other texts where they are.
 
 Defined cases: a character of a script that is written without spaces counts as a word. Sentences end after ``.``, ``!``
 or ``?`` (and closing quotes or brackets) before white space, after their full-width forms, and at a line's end; white
@@ -131,10 +131,15 @@ def substring_dedup(docs: DataFrame, least: int = MIN_SENTENCES, words: int = MI
     rank = F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy("did", "tid", "pos"))
     repeated = found.withColumn("rank", rank).where("again OR rank > 1")
     marks = materialize(repeated.groupBy("did", "tid").agg(F.collect_set(F.struct("pos", "size")).alias("marks")), "span-marks")
-    if marks.count() <= BROADCAST_ROWS:
-        marks = F.broadcast(marks)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), did.alias("did"), F.xxhash64("text").alias("tid"), "text")
-    rows = rows.join(marks, ["did", "tid"], "left").select("doc_id", "text", "marks")
+    if marks.count() <= BROADCAST_ROWS:
+        # Only ids are broadcast, two numbers each; the texts that they name move to their marks, the others stay.
+        ids = F.broadcast(marks.select("did", "tid"))
+        untouched = rows.join(ids, ["did", "tid"], "left_anti").withColumn("marks", F.lit(None).cast(marks.schema["marks"].dataType))
+        rows = rows.join(ids, ["did", "tid"], "left_semi").join(marks.hint("merge"), ["did", "tid"]).unionByName(untouched)
+    else:
+        rows = rows.join(marks, ["did", "tid"], "left")
+    rows = rows.select("doc_id", "text", "marks")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
