@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 #: A key is hot when it has at least this share of the rows; so at most 1 / HOT_SHARE keys are.
 HOT_SHARE = 0.001
@@ -107,15 +108,25 @@ def row_identity(key: list[str], text: str) -> Column:
     return F.struct(*parts, F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
 
 
+def few(found: DataFrame) -> bool:
+    """Whether a written table is small enough to be broadcast: at most BROADCAST_ROWS rows, each element of an array
+    counting as four."""
+    rows = F.lit(1)
+    for f in found.schema:
+        if isinstance(f.dataType, ArrayType):
+            rows = rows + 4 * F.greatest(F.size(f.name), F.lit(0))
+    return (found.agg(F.sum(rows)).first()[0] or 0) <= BROADCAST_ROWS
+
+
 def joined_by(docs: DataFrame, found: DataFrame, key: list[str], text: str, id: str) -> DataFrame:
     """``docs`` with the columns of ``found``, which is unique by ``id`` (a ``row_identity``); null where it has none.
 
-    Texts move only if ``found`` has more than BROADCAST_ROWS rows.
+    Texts move only if ``found``, a written table, isn't ``few``.
     """
     mine, theirs = fresh(docs, "_identity", "_found")
     rest = [c for c in found.columns if c != id]
     narrow = found.select(F.col(id).alias(mine), F.struct(*rest).alias(theirs))
-    if found.count() <= BROADCAST_ROWS:
+    if few(found):
         narrow = F.broadcast(narrow)
     out = docs.withColumn(mine, row_identity(key, text)).join(narrow, mine, "left")
     return out.select(*docs.columns, *[F.col(theirs)[c].alias(c) for c in rest])

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
 from maskwright.functions.surrogates import surrogate
-from maskwright.operators.shared import BROADCAST_ROWS, fresh, materialize, numbered, row_identity
+from maskwright.operators.shared import few, fresh, materialize, numbered, row_identity
 
 #: Makes a surrogate of category, value, attempt and seed.
 Make = Callable[[Column, Column, Column, int], Column]
@@ -119,7 +119,7 @@ def anonymize(docs: DataFrame, placed: DataFrame, vault: DataFrame, key: list[st
     """``docs`` with anonymized (the text), placements, and subs: (real, fake) of each replaced span.
 
     Spans are joined with the vault without their texts; Spark picks the join by the vault's size and splits a value that
-    many share. Texts move only where more than BROADCAST_ROWS of them have spans.
+    many share. Texts move only where spans are not ``few``.
     """
     scope = scope or []
     # Rows that repeat key and text are one here, with the spans of all of them.
@@ -137,7 +137,7 @@ def anonymize(docs: DataFrame, placed: DataFrame, vault: DataFrame, key: list[st
     identity = fresh(docs, "_row")[0]
     out = docs.withColumn(identity, F.struct(row_identity(key, text).alias("_identity"), *[F.col(c).alias(f"_p{i}") for i, c in enumerate(scope)]))
     narrow = found.select(F.col("_row").alias(identity), "_placed")
-    out = out.join(F.broadcast(narrow) if found.count() <= BROADCAST_ROWS else narrow, identity, "left").drop(identity)
+    out = out.join(F.broadcast(narrow) if few(found) else narrow, identity, "left").drop(identity)
     put = F.coalesce("_placed", F.array().cast("array<struct<start:int,end:int,surrogate:string,real:string>>"))
     return out.select(
         *docs.columns, S.splice(text, put, lambda p: p["surrogate"]).alias("anonymized"),
