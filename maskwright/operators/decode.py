@@ -78,7 +78,16 @@ def decode(tokens: DataFrame, docs: DataFrame, labels: list[str | None], min_sco
     found = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("win", "start", "end", "category", "score"))).alias("pieces"))
     wide = t.groupBy("doc_id").agg((F.max("win") > 0).alias("many"))
     out = docs.select("doc_id", "text").join(found, "doc_id", "left").join(wide, "doc_id", "left")
-    spans = F.filter(F.transform("pieces", lambda p: S.trimmed(p["category"], p["start"], p["end"], p["score"], F.col("text"))), lambda s: s.isNotNull())
-    out = out.withColumn("spans", F.coalesce(spans.cast(S.SPANS), S.no_spans()))
+    return settled(out, min_score)
+
+
+def settled(found: DataFrame, min_score: float = 0.0) -> DataFrame:
+    """doc_id and spans of rows with text, pieces (by window and place) and whether there are ``many`` windows."""
+
+    def trim(known: Column) -> Column:
+        return F.filter(F.transform(known["pieces"], lambda p: S.trimmed(p["category"], p["start"], p["end"], p["score"], known["data"])), lambda s: s.isNotNull())
+
+    spans = S.bind(F.struct(F.col("text").cast("binary").alias("data"), F.col("pieces").alias("pieces")), trim)
+    out = found.withColumn("spans", F.coalesce(spans.cast(S.SPANS), S.no_spans()))
     merged = F.when(F.coalesce("many", F.lit(False)), S.merge_overlapping("spans", "text")).otherwise(F.col("spans"))
     return out.select("doc_id", S.at_least(merged, min_score).alias("spans"))

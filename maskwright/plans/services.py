@@ -54,7 +54,8 @@ def _contacts(spark, sf_dir) -> DataFrame:
 
 
 def _rows(found: DataFrame) -> DataFrame:
-    rows = found.select("doc_id", F.posexplode("spans").alias("n", "s"))
+    # The outer form and a filter after it: for the inner one, Spark would make the spans again to see if there is one.
+    rows = found.select("doc_id", F.posexplode_outer("spans").alias("n", "s")).where("s IS NOT NULL")
     return rows.select("doc_id", _long("n"), F.col("s.category").alias("category"), F.col("s.start").cast(LONG).alias("s"), F.col("s.end").cast(LONG).alias("e"), F.col("s.text").alias("text"), F.round(F.col("s.score").cast("double"), 4).alias("score"))
 
 

@@ -130,3 +130,18 @@ def test_evaluate_against_model(spark):
 def test_min_score(spark):
     df = spark.createDataFrame([([("secret", 0, 1, "a", 0.4), ("secret", 2, 3, "b", 0.6)],)], f"spans {S.SPANS}")
     assert [len(df.select(S.at_least("spans", t).alias("x")).first().x) for t in (0, 0.5, 0.9)] == [2, 1, 0]
+
+
+def test_model_detector_scores_and_decodes_without_rows_of_tokens(spark):
+    rows = [(1, "Ann " * 1100 + "x Bob"), (1, "x Cy"), (None, "Di x"), (2, None), (3, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    labels = [None, "private_person"]
+    out = detect.model_detector(words_encoder, names_model, labels)(docs)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and "Aggregate" not in plan
+    got = [(r.doc_id, [(s.start, s.end) for s in r.spans]) for r in out.collect()]
+    want = [(1, [(0, 4399), (4402, 4405)]), (1, [(2, 4)]), (None, [(0, 2)]), (2, []), (3, [])]  # rows of one id have their own
+    assert sorted(got, key=str) == sorted(want, key=str)
+    two = docs.where("doc_id > 1 OR length(text) > 9")
+    tokens = D.decode(detect.score_windows(two, words_encoder, names_model), two, labels)
+    assert sorted(map(tuple, tokens.collect()), key=str) == sorted(map(tuple, detect.model_detector(words_encoder, names_model, labels)(two).collect()), key=str)
