@@ -214,7 +214,7 @@ def window_pieces(docs: DataFrame, encode: Callable, run_model: Callable[[], Cal
             lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pieces)
             yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(many)], names=["doc_id", "text", "pieces", "many"])
 
-    rows = docs.select("doc_id", "text")
+    rows = spread(docs.select("doc_id", "text"))
     piece = StructType().add("start", IntegerType()).add("end", IntegerType()).add("category", StringType()).add("score", DoubleType())
     return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("pieces", ArrayType(piece)).add("many", BooleanType()))
 

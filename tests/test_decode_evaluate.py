@@ -145,3 +145,14 @@ def test_model_detector_scores_and_decodes_without_rows_of_tokens(spark):
     two = docs.where("doc_id > 1 OR length(text) > 9")
     tokens = D.decode(detect.score_windows(two, words_encoder, names_model), two, labels)
     assert sorted(map(tuple, tokens.collect()), key=str) == sorted(map(tuple, detect.model_detector(words_encoder, names_model, labels)(two).collect()), key=str)
+
+
+def test_texts_are_scored_in_parts_and_by_many_tasks(spark, tmp_path):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(["a" * detect.PART_BYTES, None, "b", "c" * detect.PART_BYTES, "d"])], names=["doc_id", "text"])
+    assert [p.column(0).to_pylist() for p in detect._parts([batch])] == [[0, 1], [2], [3], [4]]
+    spark.range(40).selectExpr("id AS doc_id", "'x Ann' AS text").coalesce(1).write.parquet(str(tmp_path / "one"))
+    docs = spark.read.parquet(str(tmp_path / "one"))  # a file of one row group
+    out = detect.model_detector(words_encoder, names_model, [None, "private_person"])(docs)
+    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and out.count() == 40
