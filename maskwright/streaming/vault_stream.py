@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from maskwright.functions import surrogates as T
+from maskwright.operators.shared import fresh
 
 #: Seconds for which an anonymized text can be taken back.
 UNDO_SECONDS = 300.0
+#: Buckets that share out the streams whose texts are restored.
+BUCKETS = 4096
 COMMANDS = "vault_id string, req_id string, op string, text string, at double, spans array<struct<category:string,start:int,end:int,text:string,score:float>>"
 ANSWERS = "vault_id string, req_id string, op string, outcome string, text string, count int, subs string, removed int"
 
@@ -170,45 +173,77 @@ def vault_commands(commands: DataFrame, cap: int = 0, seed: int = 0, idle: str |
     return commands.groupBy("vault_id").applyInPandasWithState(run, ANSWERS, "stored string", "append", timeout)
 
 
+class Surrogates:
+    """The surrogates of (fake, real) pairs, made ready once: what begins one, and one expression for all of them."""
+
+    def __init__(self, pairs: list[tuple[str, str]]):
+        import re
+
+        self.real: dict[str, str] = {}
+        for f, r in pairs:
+            if f:
+                self.real.setdefault(f, r)
+        self.sizes = sorted({len(f) for f in self.real})
+        self.longest = max(self.sizes, default=0)
+        self.heads = {f[:n] for f in self.real for n in range(1, len(f))}
+        self.any_of = re.compile("|".join(re.escape(f) for f in sorted(self.real, key=len, reverse=True))) if self.real else None
+
+    def restore(self, text: str) -> str:
+        return self.any_of.sub(lambda m: self.real[m[0]], text) if self.any_of and text else text
+
+    def split(self, text: str) -> int:
+        """See ``split_safely``."""
+        return next((at for at in range(max(0, len(text) - self.longest + 1), len(text)) if text[at:] in self.heads), len(text))
+
+    def cut(self, text: str) -> int:
+        """See ``safe_cut``."""
+        cut = self.split(text)
+        while cut and cut < len(text):
+            at = next((a for a in range(max(0, cut - self.longest + 1), cut) if text[a:cut] in self.heads and any(a + n > cut and text[a : a + n] in self.real for n in self.sizes)), None)
+            if at is None:
+                return cut
+            cut = at
+        return cut
+
+
 def split_safely(text: str, fakes: list[str]) -> int:
     """How much of a growing text can be given out: up to where a surrogate may have begun that isn't whole yet."""
-    longest = max((len(f) for f in fakes), default=0)
-    for at in range(max(0, len(text) - longest + 1), len(text)):
-        rest = text[at:]
-        if any(len(f) > len(rest) and f.startswith(rest) for f in fakes):
-            return at
-    return len(text)
+    return Surrogates([(f, f) for f in fakes]).split(text)
 
 
-def restore_stream(pieces: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+def restore_stream(pieces: DataFrame, pairs: list[tuple[str, str]], buckets: int = BUCKETS) -> DataFrame:
     """stream_id, seq and text: pieces (stream_id, seq, text, last) with surrogates replaced, whole even where a piece
-    ends within one. ``pairs`` are (fake, real), of a vault that fits a worker."""
+    ends within one. ``pairs`` are (fake, real), of a vault that fits a worker.
+
+    Streams share the state of a bucket, as calling Python costs more than a short stream's pieces; a bucket keeps only
+    what is still held back, and its pieces of one micro-batch are held at once.
+    """
+    ready: list[Surrogates] = []  # made once a task
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fakes = [f for f, _ in pairs if f]
-        held = state.get[0] if state.exists else ""
+        if not ready:
+            ready.append(Surrogates(pairs))
+        known = ready[0]
+        held: dict[str | None, str] = dict(json.loads(state.get[0])) if state.exists else {}
+        rows = [r for p in parts for r in zip(*(p[c].tolist() for c in ("seq", "stream_id", "text", "last")), strict=True)]
+        rows.sort(key=lambda r: r[0])
         out = []
-        for r in pd.concat(list(parts)).sort_values("seq").itertuples():
-            held += r.text or ""
-            cut = len(held) if r.last else safe_cut(held, fakes)
-            out.append((key[0], r.seq, longest_first(held[:cut], pairs)[0]))
-            held = held[cut:]
-        state.update((held,))
+        for seq, stream, text, last in rows:
+            so_far = held.get(stream, "") + (text or "")
+            cut = len(so_far) if last else known.cut(so_far)
+            out.append((stream, seq, known.restore(so_far[:cut])))
+            held[stream] = so_far[cut:]
+        state.update((json.dumps([x for x in held.items() if x[1]]),))
         yield pd.DataFrame(out, columns=["stream_id", "seq", "text"])
 
-    return pieces.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, seq long, text string", "held string", "append", GroupStateTimeout.NoTimeout)
+    bucket = fresh(pieces, "_bucket")[0]
+    dealt = pieces.withColumn(bucket, F.pmod(F.xxhash64("stream_id"), F.lit(buckets)))
+    return dealt.groupBy(bucket).applyInPandasWithState(run, "stream_id string, seq long, text string", "held string", "append", GroupStateTimeout.NoTimeout)
 
 
 def safe_cut(text: str, fakes: list[str]) -> int:
     """As ``split_safely``, but never within a whole surrogate that the rest might still make longer."""
-    cut = split_safely(text, fakes)
-    longest = max((len(f) for f in fakes), default=0)
-    while cut:
-        at = next((a for a in range(max(0, cut - longest + 1), cut) if any(a + len(f) > cut and text.startswith(f, a) for f in fakes)), None)
-        if at is None:
-            return cut
-        cut = at
-    return cut
+    return Surrogates([(f, f) for f in fakes]).cut(text)
 
 
 def outcome_counts(answers: DataFrame) -> DataFrame:

@@ -108,3 +108,23 @@ def test_restore_stream_and_replica(spark, tmp_path):
 @pytest.mark.parametrize("text, want", [("ab", 0), ("xab", 1), ("xabd", 4), ("", 0)])
 def test_safe_cut(text, want):
     assert V.safe_cut(text, ["abc"]) == want
+
+
+def test_streams_share_the_state_of_a_bucket(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    pairs = [(f"sk-fake-{i}", f"KEY{i}") for i in range(30)]
+    whole = spark.range(300).selectExpr("cast(id AS string) AS stream_id", "concat('é sk-fake-', id % 40, ' or sk-fake-', id % 30) AS text")
+    cut = whole.select("stream_id", F.posexplode(F.expr("transform(sequence(0, 5), i -> substr(text, 5 * i + 1, 5))")).alias("seq", "text"))
+    cut = cut.selectExpr("stream_id", "cast(seq AS long) AS seq", "text", "seq = 5 AS last")
+    for name, part in (("a", "seq < 3"), ("b", "seq >= 3")):
+        cut.where(part).write.parquet(str(tmp_path / "in" / name))
+    stream = spark.readStream.schema(cut.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = []
+    query = V.start(V.restore_stream(stream, pairs, buckets=4), lambda df, _: got.extend(df.collect()), str(tmp_path / "cp"))
+    query.awaitTermination()
+    texts = {}
+    for r in sorted(got, key=lambda r: r.seq):
+        texts[r.stream_id] = texts.get(r.stream_id, "") + r.text
+    want = {r.stream_id: V.longest_first(r.text[:30], pairs)[0] for r in whole.collect()}
+    assert texts == want and query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
