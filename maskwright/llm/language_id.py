@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +36,8 @@ LENGTHS = (5, 4, 3, 2, 1)
 #: and Roman numbers and the like.
 NUMERALS = "".join(re.escape(c) for c in map(chr, range(128, 0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
 LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
+#: Characters that are no letters and often stand around a word.
+EDGES = string.punctuation + string.digits
 UNKNOWN = "und"
 CACHE = 300_000
 
@@ -44,6 +47,12 @@ def words(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
+def token_words(token: str) -> list[str]:
+    """``words`` of what stands between white space, without the pattern where that is one word within ``EDGES``."""
+    inner = token.lower().strip(EDGES)
+    return [inner] if inner.isalpha() else words(token)
+
+
 def grams(word: str, n: int) -> list[str]:
     """The n-grams of the word between its edges; single letters without them."""
     word = word if n == 1 else f"<{word}>"
@@ -62,9 +71,12 @@ class Model:
     def word(self, word: str) -> tuple[float, ...] | None:
         if word in self.words:
             return self.words[word]
+        get, edged = self.grams.get, f"<{word}>"
         for n in LENGTHS:
-            if known := [self.grams[g] for g in grams(word, n) if g in self.grams]:
-                return tuple(sum(x) / len(known) for x in zip(*known, strict=True))
+            within = word if n == 1 else edged  # as in ``grams``, which would make a list for each length
+            if known := [s for i in range(len(within) - n + 1) if (s := get(within[i : i + n])) is not None]:
+                k = len(known)
+                return known[0] if k == 1 else tuple([sum(x) / k for x in zip(*known, strict=True)])
         return None
 
 
@@ -148,9 +160,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             """What stands between white space: the sum of its words' scores, and whether it has letters."""
 
             def __missing__(self, token: str):
-                found = words(token)
+                found = token_words(token)
                 out = zero
-                if found:
+                if len(found) == 1:
+                    out = np.array((*(model.word(found[0]) or zero[:-1]), 1.0))
+                elif found:
                     out = zero.copy()
                     out[-1] = len(found)
                     for w in found:

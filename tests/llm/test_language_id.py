@@ -45,3 +45,8 @@ def test_fold_2_is_never_learned(spark):
     changed = docs.selectExpr("doc_id", "text", "if(pmod(crc32(cast(cast(doc_id as string) as binary)), 4) = 2, 'zz', lang) as lang")
     a, b = (sorted(map(tuple, L.language_id(d).collect())) for d in (docs, changed))
     assert a == b and any(r[1] for r in a) and not any(r[2] == "zz" for r in a)
+
+
+def test_words_of_tokens_are_those_of_texts():
+    for token in ("plain", "Ends,", "(two-part)", "it's", "3rd", "İstanbul", "x²", "½", "a_b", "_", "", "日本。", "ǅ!", "Ⅳ", "naïve…"):
+        assert L.token_words(token) == L.words(token), token
