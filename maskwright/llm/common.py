@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +53,22 @@ def keep(docs: DataFrame, report: DataFrame) -> DataFrame:
     if marks.where(F.col(stay) > 0).isEmpty():
         return out
     return out.unionByName(found.where(F.col(stay) > 0).dropDuplicates([key]).select(*docs.columns))
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` of ``mapInArrow``, whose worker gives what it no longer uses back to the system when the task ends: workers
+    serve the next steps too, and each would go on holding the most that any step took."""
+
+    def task(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+                trim(0)
+
+    return task

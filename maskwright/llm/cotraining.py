@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import discard, identity, keep, materialize, spread
+from maskwright.llm.common import discard, identity, keep, materialize, released, spread
 
 LABELLED, HANDED, ROUNDS = 8000, 800, 3
 #: Positions of the hashed features: of words, of the text view, whose shapes follow the words, and of the metadata view.
@@ -262,6 +262,7 @@ def co_train(text: list[np.ndarray], meta: list[np.ndarray], good: list[float],
 def features(docs: DataFrame) -> DataFrame:
     """The features of every document, written once."""
 
+    @released
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -304,6 +305,7 @@ def _pool(rest: DataFrame, handed: int) -> Pool:
     def take(turn: int, views: tuple[View, View], limits: list[tuple[float, float]]) -> list[list[tuple]]:
         shared = spark.sparkContext.broadcast((views, limits))
 
+        @released
         def run(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
@@ -358,6 +360,7 @@ def _scored(x: DataFrame, model: CoTrained, threshold: float) -> DataFrame:
     shared = x.sparkSession.sparkContext.broadcast(model)
     out = "identity struct<none:boolean,id:long,h1:long,h2:long>, text_score double, meta_score double, score double, accepted boolean"
 
+    @released
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import identity, keep, materialize
+from maskwright.llm.common import identity, keep, materialize, released
 
 #: Bytes of benchmark text that are broadcast at once.
 BLOCK_BYTES = 16_000_000
@@ -47,6 +47,7 @@ def _counts(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(vocabulary)
 
+    @released
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -113,6 +114,7 @@ def _find(docs: DataFrame, benchmark: DataFrame, size: int, block_bytes: int = B
         counts = _counts(docs, {w for _, text in held for w in words(text)})
         index = spark.sparkContext.broadcast(_index(held, counts, size))
 
+        @released
         def run(batches: Iterator, index=index) -> Iterator:
             import pyarrow as pa
 

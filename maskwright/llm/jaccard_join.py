@@ -31,7 +31,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import BROADCAST_ROWS, discard, identity, keep, lookup, materialize
+from maskwright.llm.common import BROADCAST_ROWS, discard, identity, keep, lookup, materialize, released
 from maskwright.llm.components import components
 from maskwright.llm.decontaminate import words
 
@@ -81,6 +81,7 @@ def signature(sets, a):
 def _sets(docs: DataFrame, size: int, trees: int, depth: int) -> DataFrame:
     """row, identity, a digest of the shingle set, its size and its signature."""
 
+    @released
     def run(batches: Iterator) -> Iterator:
         import hashlib
 
@@ -192,6 +193,7 @@ def _cuts(classes: DataFrame, trees: int, depth: int, floor: int, threshold: flo
         members = nodes(materialize(members, "forest-members"), d, "left")
     members = materialize(members, "forest-members")
 
+    @released
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -235,6 +237,7 @@ def _candidates(blocks: DataFrame, classes: DataFrame, trees: int, depth: int, t
     least = threshold - SLACK * (threshold * (1 - threshold) / (trees * depth)) ** 0.5
     names = ["tree", "key", "lo", "hi", "chunk", "rep", "n", "sig", "cuts"]
 
+    @released
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -282,6 +285,7 @@ def _verified(candidates: DataFrame, texts: DataFrame, size: int, threshold: flo
     """rep, its number of links in a block, and the least class that links lead to within the block."""
     names = ["key", "lo", "hi", "rep", "partners", "digest", "text"]
 
+    @released
     def run(batches: Iterator) -> Iterator:
         import hashlib
 

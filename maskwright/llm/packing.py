@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import materialize, spread
+from maskwright.llm.common import materialize, released, spread
 
 #: Entries of each half of a worker's cache of tokenised words; when one is full it replaces the other.
 CACHE = 250_000
@@ -119,6 +119,7 @@ def encoder(path: str) -> Encoder:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """A row per piece: where it starts in its document's ids, its length and checksum, its task and number there."""
 
+    @released
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
@@ -224,6 +225,7 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_
 def sequences(docs: DataFrame, placed: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """The packed sequences: sequence_id and its ids, each piece at its place. Needs ids that occur once in ``docs``."""
 
+    @released
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa

@@ -16,3 +16,25 @@ def test_lookup_against_a_dict(spark, pairs, hot):
     assert got == {i: known[k][1] if k in known else None for i, k in enumerate(keys)}
     inner = {r.id for r in lookup(left, right, "key", "n", "id", how="inner").collect()}
     assert inner == {i for i, k in enumerate(keys) if k in known}
+
+
+def test_released_gives_memory_back_and_changes_no_rows(spark):
+    from maskwright.llm.common import released
+
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    @released
+    def run(batches):
+        for batch in batches:
+            junk = [bytes(1000) for _ in range(200_000)]  # 200 MB in small pieces, which stay with the allocator else
+            last = junk[-1]
+            del junk
+            yield batch
+            del last
+
+    before = held()
+    assert list(run(iter(range(3)))) == [0, 1, 2]
+    assert held() - before < 50_000_000
+    assert spark.range(5).mapInArrow(run, "id long").count() == 5
