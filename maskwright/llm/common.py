@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from maskwright.operators.shared import BROADCAST_ROWS, HOT_SHARE, discard, fresh, lookup, materialize, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "HOT_SHARE", "discard", "fresh", "identity", "keep", "lookup", "materialize", "shared_dir", "spread", "table"]
+__all__ = ["BROADCAST_ROWS", "HOT_SHARE", "discard", "fresh", "identity", "keep", "lookup", "materialize", "released", "shared_dir", "sliced", "spread", "table"]
+
+#: Rows that a pass over texts holds as Python objects at once.
+SLICE = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,3 +75,10 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
                 trim(0)
 
     return task
+
+
+def sliced(batches: Iterator, rows: int = SLICE) -> Iterator:
+    """The same rows in batches of ``rows`` at most, without a copy."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import discard, identity, keep, materialize, released, spread
+from maskwright.llm.common import discard, identity, keep, materialize, released, sliced, spread
 
 LABELLED, HANDED, ROUNDS = 8000, 800, 3
 #: Positions of the hashed features: of words, of the text view, whose shapes follow the words, and of the metadata view.
@@ -42,7 +42,8 @@ WORD_BITS, TEXT_BITS, META_BITS = 18, 19, 14
 SURE = 0.97
 #: Documents with a lower chance of being good are rejected; below a half, as a clean document lost costs more.
 THRESHOLD = 0.4
-CACHE = 300_000
+#: Tokens whose features a task keeps, in about 20 MB.
+CACHE = 60_000
 #: Features of fewer documents are not fitted.
 FEW = 4
 #: Lengths of the beginnings of words that count as features too, for inflected forms.
@@ -267,7 +268,7 @@ def features(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         tokens = Tokens()
-        for batch in batches:
+        for batch in sliced(batches):
             text, *meta = (c.to_pylist() for c in batch.columns[2:])
             x = [text_features(t, tokens) for t in text]
             m = [meta_features(*r) for r in zip(*meta, strict=True)]

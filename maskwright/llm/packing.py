@@ -24,10 +24,10 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import materialize, released, spread
+from maskwright.llm.common import materialize, released, sliced, spread
 
-#: Entries of each half of a worker's cache of tokenised words; when one is full it replaces the other.
-CACHE = 250_000
+#: Entries of each half of a task's cache of tokenised words; when one is full it replaces the other.
+CACHE = 60_000
 BLANK = re.compile(r"[ \t\n\r\x0b\x0c]+")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
@@ -51,6 +51,10 @@ class Pieces(dict):
             self[word] = out
         return out
 
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
+
 
 class Encoder:
     """A text's ids as little-endian unsigned 32-bit bytes, the same as the tokenizer's.
@@ -109,10 +113,16 @@ class Encoder:
             ids = b"".join(map(self.stretches.__getitem__, BLANK.split(text)))
         return ids + struct.pack("<I", end_id)
 
+    def forget(self) -> None:
+        """Empty the caches, which a worker would hold through the steps that follow."""
+        for cache in (self.stretches, self.words):
+            if cache is not None:
+                cache.forget()
+
 
 @functools.lru_cache(2)
 def encoder(path: str) -> Encoder:
-    """One for each worker, whose caches serve all its tasks."""
+    """One for each worker; its caches serve a task."""
     return Encoder(path)
 
 
@@ -125,7 +135,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
         from pyspark import TaskContext
 
         encode, part, seen, step = encoder(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1), 4 * capacity
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encode.text(text, end_id)
@@ -137,6 +147,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
             columns = zip(*rows, strict=True) if rows else [[]] * 7
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
+        encode.forget()
 
     return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, PIECES)
 
@@ -238,6 +249,7 @@ def sequences(docs: DataFrame, placed: DataFrame, tokenizer: str, end_id: int =
                 [pa.array([r[c] for r in rows], pa.int64()) for c in ("sequence_id", "offset")] + [pa.array(ids, pa.list_(pa.int32()))],
                 names=["sequence_id", "offset", "ids"],
             )
+        encode.forget()
 
     joined = placed.join(docs.select("doc_id", "text"), "doc_id")
     parts = joined.select("sequence_id", "offset", "start", "length", "text").mapInArrow(run, "sequence_id long, offset long, ids array<int>")

@@ -38,3 +38,14 @@ def test_released_gives_memory_back_and_changes_no_rows(spark):
     assert list(run(iter(range(3)))) == [0, 1, 2]
     assert held() - before < 50_000_000
     assert spark.range(5).mapInArrow(run, "id long").count() == 5
+
+
+def test_sliced_keeps_rows_and_order():
+    import pyarrow as pa
+
+    from maskwright.llm.common import sliced
+
+    batches = [pa.RecordBatch.from_pydict({"a": list(range(i, i + n))}) for i, n in ((0, 2500), (2500, 0), (2500, 1000), (3500, 1))]
+    out = list(sliced(iter(batches)))
+    assert max(b.num_rows for b in out) == 1000
+    assert [x for b in out for x in b.column(0).to_pylist()] == list(range(3501))

@@ -95,3 +95,18 @@ def test_defined_cases(spark):
 @pytest.mark.parametrize("token, want", [("THE!!", "A!"), ("ab12cd", "a0a"), ("|", "|"), ("Ab", "Aa")])
 def test_shape(token, want):
     assert C.shape(token) == want
+
+
+def test_tokens_of_a_task_stay_within_their_memory():
+    import tracemalloc
+
+    from maskwright.llm.cotraining import Tokens
+
+    tokens = Tokens()
+    tracemalloc.start()
+    for i in range(250_000):
+        tokens[f"token{i}!"]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50_000_000
+    assert tokens["token7!"] == Tokens()["token7!"]

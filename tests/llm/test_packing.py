@@ -107,3 +107,18 @@ def test_sequences_hold_the_ids(spark, plain):
     for r in placed.collect():
         ids = [*plain.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 0]
         assert whole[r.sequence_id][r.offset : r.offset + r.length] == ids[r.start : r.start + r.length]
+
+
+def test_a_task_leaves_no_cached_words_to_its_worker(spark):
+    import pyarrow as pa
+
+    def held(batches):
+        for batch in batches:
+            has = packing.encoder.cache_info().currsize > 0
+            n = sum(len(c) + len(c.older) for c in (packing.encoder(PATH).stretches, packing.encoder(PATH).words)) if has else -1
+            yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows, pa.int64())], names=["n"])
+
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('word', id, ' and \u4e2d', id) AS text").repartition(4)
+    assert packing.pieces(docs, PATH).count() == 400
+    left = [r.n for r in spark.range(0, 8, 1, 8).mapInArrow(held, "n long").collect()]
+    assert max(left) == 0  # some of these workers were the same, and none holds a word
