@@ -5,6 +5,9 @@ numbered in the order in which values first appear. Values are compared as they
 
 No text comes out with a value that was found in it: rows are told apart by key and text, so a missing or repeated key is
 no fault; a missing scope is a scope of its own; a category that isn't known gets a surrogate like a secret's.
+
+No surrogate of ``anonymize_corpus`` stands in a text as it came, or restoring would change what was never replaced. Two
+kinds aren't held to that: those of an existing vault, and those with a number at the end, after all attempts.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
 from maskwright.functions.surrogates import surrogate
+from maskwright.operators.restore import occurrences
 from maskwright.operators.shared import few, fresh, materialize, numbered, row_identity
 
 #: Makes a surrogate of category, value, attempt and seed.
@@ -44,10 +48,11 @@ def values(placed: DataFrame, order: list[str], scope: list[str] | None = None)
     return each.groupBy(*scope, F.col("s.category").alias("category"), F.col("s.text").alias("real")).agg(F.min(place).alias("first"))
 
 
-def build(found: DataFrame, scope: list[str] | None = None, existing: DataFrame | None = None, seed: int = 0, make: Make = surrogate) -> DataFrame:
+def build(found: DataFrame, scope: list[str] | None = None, existing: DataFrame | None = None, seed: int = 0, make: Make = surrogate, avoid: DataFrame | None = None) -> DataFrame:
     """The vault of the ``values`` found; after those of an ``existing`` vault, which keep their surrogates.
 
-    ``make`` is what invents a surrogate of a category, a value and an attempt, with a seed.
+    ``make`` is what invents a surrogate of a category, a value and an attempt, with a seed. ``avoid`` (scope columns, fake)
+    has surrogates that no attempt may give.
     """
     scope = scope or []
     keys = [*scope, "category", "real"]
@@ -69,7 +74,7 @@ def build(found: DataFrame, scope: list[str] | None = None, existing: DataFrame
     else:
         new = numbered(new, ["first", "category", "real"], "seq", start).withColumn("seq", F.col("seq").cast("long"))
     columns = [*scope, "seq", "category", "real", "fake"]
-    minted = _mint(new.select(*scope, "seq", "category", "real"), existing, scope, seed, make).select(*columns)
+    minted = _mint(new.select(*scope, "seq", "category", "real"), existing, scope, seed, make, avoid).select(*columns)
     return minted if existing is None else existing.select(*columns).unionByName(minted)
 
 
@@ -78,10 +83,12 @@ def _same(left: list[str], right: list[str]) -> Column:
     return functools.reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)])
 
 
-def _mint(new: DataFrame, existing: DataFrame | None, scope: list[str], seed: int, make: Make) -> DataFrame:
+def _mint(new: DataFrame, existing: DataFrame | None, scope: list[str], seed: int, make: Make, avoid: DataFrame | None = None) -> DataFrame:
     """``new`` with surrogates that no two share: the first to come keeps one, the others try again."""
     names = [*scope, "fake"]
     taken = existing.select(*names) if existing is not None else None
+    if avoid is not None:
+        taken = (avoid if taken is None else taken.unionByName(avoid.select(*names))).select(*names).distinct()
     left, done = new, None
     for attempt in range(ATTEMPTS):
         tried = left.withColumn("fake", make(F.col("category"), F.col("real"), F.lit(attempt), seed))
@@ -150,4 +157,17 @@ def anonymize_corpus(docs: DataFrame, key: list[str], scope: list[str] | None =
     """Anonymized documents and the vault that they share; with ``scope``, one for each value of those columns."""
     some = placed(docs, key, scope)
     vault = materialize(build(values(some, key, scope), scope, existing, seed, make), "vault")
-    return anonymize(docs, some, vault, key, scope), vault
+    names = [*(scope or []), "fake"]
+    theirs = [f"_a{i}" for i in range(len(names))]
+    known, avoid = [existing.select(*names)] if existing is not None else [], None
+    while True:
+        new = vault
+        for before in known:  # these keep their surrogates, or were looked for already
+            new = new.join(before.toDF(*theirs), _same(names, theirs), "left_anti")
+        hits = occurrences(docs, materialize(new, "new-surrogates"), scope or [], "text").select(*names).distinct()
+        hits = materialize(new.join(hits.toDF(*theirs), _same(names, theirs), "left_semi").select(*names).distinct(), "surrogates-in-texts")
+        if hits.isEmpty():
+            return anonymize(docs, some, vault, key, scope), vault
+        known.append(vault.select(*names))
+        avoid = hits if avoid is None else avoid.unionByName(hits)
+        vault = materialize(build(values(some, key, scope), scope, existing, seed, make, avoid), "vault")
